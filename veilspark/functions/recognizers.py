@@ -227,8 +227,14 @@ def analyze(
     entities; a null text gives null, to be split off as rejected.
     """
     found = recognize(text, registry)
-    extra = [F.coalesce(spans, sp.no_spans()) for spans in extra]
-    if extra:
-        found = F.concat(found, *extra)
+    for spans in extra:
+        shown = F.transform(
+            F.coalesce(spans, sp.no_spans()),
+            lambda s: s.withField(
+                "text_preview",
+                F.coalesce(s["text_preview"], F.substring(text, s["start"] + 1, s["end"] - s["start"])),
+            ),
+        )
+        found = F.concat(found, shown)
     passing = F.filter(sp.drop_repeats(found), lambda s: s["score"] >= F.lit(float(threshold)))
     return F.when(text.isNotNull(), sp.sorted_spans(passing))

@@ -145,50 +145,43 @@ def dictionary_entities(
     Words of each text are joined up to n-grams, for each phrase length that occurs in the table,
     and matched by one equi-join on the lower-cased phrase. Phrases are distinct in the table, so the
     join adds no rows per n-gram; a small table is broadcast by its size, a large one is shuffled.
+    Words count as adjacent whatever stands between them. Hits carry no preview: the text is not
+    copied along with every n-gram.
     """
-    words = F.transform(
-        F.regexp_extract_all(F.lower("phrase"), F.lit(WORD_PATTERN), F.lit(0)), lambda w: w
-    )
+    words = F.regexp_extract_all(F.lower("phrase"), F.lit(WORD_PATTERN), F.lit(0))
     phrases = (
         dictionary.select(F.array_join(words, " ").alias("phrase"), "entity_type", F.size(words).alias("n"))
         .where(F.col("n") > 0)
         .distinct()
     )
     lengths = phrases.agg(F.array_sort(F.collect_set("n")).alias("n")).scalar()
-    text = F.col(text_col)
-    located = df.select(F.col(key), text.alias("_text"), sp.find_spans(text, WORD_PATTERN).alias("_w"))
+
+    def gram(i: Column) -> Column:
+        parts = F.slice("_w", i, F.col("n"))
+        return F.struct(
+            parts[0]["start"].alias("start"),
+            F.element_at(parts, -1)["end"].alias("end"),
+            F.lower(F.array_join(F.transform(parts, lambda w: w["value"]), " ")).alias("phrase"),
+        )
+
     grams = (
-        located.withColumn("_n", lengths)
-        .select(key, "_text", "_w", F.explode("_n").alias("n"))
+        df.select(F.col(key), sp.find_spans(F.col(text_col), WORD_PATTERN).alias("_w"))
+        .withColumn("_n", lengths)
+        .select(key, "_w", F.explode("_n").alias("n"))
         .where(F.size("_w") >= F.col("n"))
         .select(
             key,
-            "_text",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1),
-                    lambda i: F.struct(
-                        F.element_at("_w", i)["start"].alias("start"),
-                        F.element_at("_w", i + F.col("n") - 1)["end"].alias("end"),
-                        F.lower(
-                            F.array_join(
-                                F.transform(F.slice("_w", i, F.col("n")), lambda w: w["value"]), " "
-                            )
-                        ).alias("phrase"),
-                    ),
-                )
-            ).alias("g"),
-        )
-        .select(
-            key,
-            "g.start",
-            "g.end",
-            "g.phrase",
-            F.substring("_text", F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("text_preview"),
+            F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1), gram)).alias("g"),
         )
+        .select(key, "g.*")
     )
     return grams.join(phrases.select("phrase", "entity_type"), "phrase").select(
-        key, "entity_type", "start", "end", F.lit(score).alias("score"), "text_preview"
+        key,
+        "entity_type",
+        "start",
+        "end",
+        F.lit(score).alias("score"),
+        F.lit(None).cast("string").alias("text_preview"),
     )
 
 
