@@ -110,6 +110,20 @@ def _class_of(f: T.StructField, name: str, classes: dict[str, str]) -> str:
     return classes.get(name) or f.metadata.get(schemas.KEY, schemas.DEFAULT_CLASS)
 
 
+def _checked_classes(
+    df: DataFrame, destination: str, classes: dict[str, str] | None, strict: bool
+) -> dict[str, str]:
+    if destination not in GUARDED:
+        raise ValueError("destination must be 'cloud' or 'llm'")
+    classes = classes or {}
+    if strict:
+        bare = [f.name for f in df.schema.fields
+                if schemas.KEY not in f.metadata and f.name not in classes]
+        if bare:
+            raise EgressViolation(f"columns without a data class: {', '.join(bare)}")
+    return classes
+
+
 def violations(
     df: DataFrame,
     destination: str,
@@ -123,23 +137,18 @@ def violations(
     class instead of treating them as INTERNAL. ``authentic`` adds, per field, a check beyond the
     shape of a ciphertext (see :func:`authentic_with`).
     """
-    if destination not in GUARDED:
-        raise ValueError("destination must be 'cloud' or 'llm'")
-    classes = classes or {}
-    if strict:
-        bare = [f.name for f in df.schema.fields
-                if schemas.KEY not in f.metadata and f.name not in classes]
-        if bare:
-            raise EgressViolation(f"columns without a data class: {', '.join(bare)}")
-    found = [
-        _leaf_violations(
+    classes = _checked_classes(df, destination, classes, strict)
+    found = [v for _, v in _by_column(df, destination, classes, authentic) if v is not None]
+    return F.concat(*found) if found else _none()
+
+
+def _by_column(df: DataFrame, destination: str, classes: dict[str, str], authentic):
+    """Each field with its violations, or None where nothing is guarded."""
+    for f in df.schema.fields:
+        yield f, _leaf_violations(
             F.col(f"`{f.name}`"), f.dataType, _class_of(f, f.name, classes), F.lit(f.name),
             destination, classes, f.name, authentic(f.name) if authentic else None,
         )
-        for f in df.schema.fields
-    ]
-    found = [v for v in found if v is not None]
-    return F.concat(*found) if found else _none()
 
 
 def authentic_with(keys: Column, version: Column, domain: str) -> Callable[[str], Callable[[Column], Column]]:
@@ -155,24 +164,49 @@ def report(df: DataFrame, destination: str, **options) -> DataFrame:
 def guard(df: DataFrame, destination: str, mode: str = "fail", **options):
     """Stop plaintext from leaving.
 
-    ``fail`` returns the rows and fails the job that reads them at the first violation; ``split``
-    returns ``(passed, quarantined)``; ``report`` returns all rows with their violations.
+    ``fail`` returns the rows; a job that reads a guarded column of them fails at its first violation.
+    ``split`` returns ``(passed, quarantined)``; ``report`` returns all rows with their violations.
     """
     if mode == "report":
         return report(df, destination, **options)
-    checked = report(df, destination, **options)
-    bad = F.size(VIOLATIONS) > 0
     if mode == "split":
+        checked = report(df, destination, **options)
+        bad = F.size(VIOLATIONS) > 0
         return checked.where(~bad).drop(VIOLATIONS), checked.where(bad)
     if mode != "fail":
         raise ValueError("mode must be 'fail', 'split' or 'report'")
-    first = F.col(VIOLATIONS)[0]
-    message = F.concat(
+    return _fail_on_read(df, destination, **options)
+
+
+def blocked_message(found: Column, destination: str) -> Column:
+    """Text about the first violation, null if there is none."""
+    first = F.get(found, F.lit(0))
+    return F.concat(
         F.lit(f"{destination} egress blocked: field '"), first["path"], F.lit("' "), first["rule"],
         F.lit(" for "), first["classification"],
     )
-    passed = F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return checked.where(passed).drop(VIOLATIONS)
+
+
+def _fail_on_read(
+    df: DataFrame, destination: str, classes: dict[str, str] | None = None, strict: bool = False,
+    authentic: Callable[[str], Callable[[Column], Column]] | None = None,
+) -> DataFrame:
+    """Let each guarded column check itself when it is read.
+
+    A filter over all columns would be pushed below the projection that masks them, and every value
+    would be encrypted twice.
+    """
+    classes = _checked_classes(df, destination, classes, strict)
+    out = []
+    for f, found in _by_column(df, destination, classes, authentic):
+        value = F.col(f"`{f.name}`")
+        if found is not None:
+            clean = F.size(found) == 0
+            value = crypto.fail_unless(clean, value, blocked_message(found, destination)).alias(
+                f.name, metadata=f.metadata
+            )
+        out.append(value)
+    return df.select(*out)
 
 
 # Fields whose plain text must not occur in a prompt, and the shortest value that counts.

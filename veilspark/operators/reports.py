@@ -10,6 +10,7 @@ from veilspark.functions import recognizers
 from veilspark.functions.recognizers import DEFAULT_REGISTRY, Recognizer
 from veilspark.operators import egress
 from veilspark.operators.lookup import SPREAD, hottest_keys
+from veilspark.operators.rows import one_row_each
 
 
 def entity_profile(analyzed: DataFrame, doc_col: str, *by: str) -> DataFrame:
@@ -19,9 +20,8 @@ def entity_profile(analyzed: DataFrame, doc_col: str, *by: str) -> DataFrame:
     The distinct count groups by document before it groups by type, which keeps a frequent type from
     landing in one task. Totals have null in the summed-over columns.
     """
-    per_doc = analyzed.select(
-        doc_col, *by, F.explode("entities.entity_type").alias("entity_type")
-    ).groupBy(doc_col, *by, "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    typed = one_row_each(analyzed, "entities.entity_type", (doc_col, *by), "entity_type")
+    per_doc = typed.groupBy(doc_col, *by, "entity_type").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.cube("entity_type", *by).agg(
         F.sum("n").alias("entities"), F.countDistinct(doc_col).alias("documents")
     )
@@ -86,7 +86,7 @@ def suggest_classes(discovery: DataFrame, share: float = 0.5) -> DataFrame:
 
 def egress_audit(df: DataFrame, destination: str, **options) -> DataFrame:
     """Violations by path, class and rule. Array indexes are dropped from paths before counting."""
-    listed = egress.report(df, destination, **options).select(F.explode(egress.VIOLATIONS).alias("v"))
+    listed = one_row_each(egress.report(df, destination, **options), egress.VIOLATIONS, (), "v")
     return (
         listed.select(
             F.regexp_replace("v.path", r"\[\d+\]", "[]").alias("path"), "v.classification", "v.rule"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veilspark.config import EngineConfig
 from veilspark.functions import anonymizers, recognizers, spans as sp, tokens
 from veilspark.functions.recognizers import DEFAULT_REGISTRY, Recognizer
+from veilspark.operators.rows import one_row_each
 
 ENTITIES = "entities"
 
@@ -66,7 +67,7 @@ def anonymize(
 
 def entity_rows(analyzed: DataFrame, *keep: str) -> DataFrame:
     """One row per entity."""
-    return analyzed.select(*keep, F.explode(ENTITIES).alias("e")).select(*keep, "e.*")
+    return one_row_each(analyzed, ENTITIES, keep, "e").select(*keep, "e.*")
 
 
 def entity_count(entities: Column) -> Column:
@@ -201,7 +202,7 @@ def model_recognizer(load: Callable[[], Callable[[str], list[dict]]]) -> Callabl
     result = f"struct<status:string,spans:{sp.SPANS_TYPE}>"
 
     @F.pandas_udf(result)
-    def run(batches: Iterable[pd.Series]) -> Iterable[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         try:
             find = load()
         except Exception:

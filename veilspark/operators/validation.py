@@ -23,7 +23,7 @@ def is_iso_timestamp(value: Column) -> Column:
     """
     digits = F.replace(value, F.lit("-"), F.lit(""))
     day = F.try_to_timestamp(F.substring(digits, 1, 8), F.lit("yyyyMMdd"))
-    return value.rlike(_ISO_TIMESTAMP) & day.isNotNull()
+    return F.when(value.isNotNull(), value.rlike(_ISO_TIMESTAMP) & day.isNotNull())
 
 
 def event_time(value: Column) -> Column:

@@ -14,14 +14,16 @@ def write_guarded(df: DataFrame, path: str, destination: str, mode: str = "appen
 
 
 def write_split(validated: DataFrame, path: str, mode: str = "append") -> None:
-    """Write valid and rejected rows in one pass, as ``rejected=false`` and ``rejected=true``.
+    """Write valid and rejected rows in one pass, as ``outcome=valid`` and ``outcome=rejected``.
 
     Works on the output of ``validation.validate`` and of ``egress.report``.
     """
     (
-        validated.withColumn("rejected", F.size(validation.VIOLATIONS) > 0)
+        validated.withColumn(
+            "outcome", F.when(F.size(validation.VIOLATIONS) > 0, "rejected").otherwise("valid")
+        )
         .write.mode(mode)
-        .partitionBy("rejected")
+        .partitionBy("outcome")
         .parquet(path)
     )
 
