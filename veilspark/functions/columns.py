@@ -7,6 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 
+def settled(value: Column) -> Column:
+    """The same value, computed where it stands.
+
+    The optimizer moves filters on a computed column below the projection and repeats its expression
+    there. For costly columns that are filtered on, a branch on the partition number, which is never
+    negative, keeps it in place.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def scale(value: Column, factor: float) -> Column:
     return value * F.lit(float(factor))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veilspark.functions import crypto, tokens
 from veilspark.functions.anonymizers import short_hash
-from veilspark.functions.columns import canonical_text, fixed_decimals
+from veilspark.functions.columns import canonical_text, fixed_decimals, settled
 from veilspark.functions.crypto import bind
 from veilspark.sources import schemas
 
@@ -158,7 +158,7 @@ def authentic_with(keys: Column, version: Column, domain: str) -> Callable[[str]
 
 def report(df: DataFrame, destination: str, **options) -> DataFrame:
     """Add ``violations`` to every row."""
-    return df.withColumn(VIOLATIONS, violations(df, destination, **options))
+    return df.withColumn(VIOLATIONS, settled(violations(df, destination, **options)))
 
 
 def guard(df: DataFrame, destination: str, mode: str = "fail", **options):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPREAD = 32
@@ -39,3 +41,23 @@ def lookup_join(
     buckets = F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     repeated = lookup.withColumn("_salt", F.explode(buckets))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def via_dictionary(
+    df: DataFrame, columns: list[str], compute: Callable[[DataFrame], DataFrame], hot_keys: int = 64
+) -> DataFrame:
+    """Replace columns by a costly function of them, computed once per distinct combination.
+
+    Distinct combinations are reduced before they are shuffled, computed, and joined back by value;
+    one that most rows share is spread (see :func:`lookup_join`). Pays off where values repeat often,
+    as customer columns do in transactions. ``compute`` maps the columns and may add others.
+    """
+    distinct = df.select(*columns).distinct().withColumn("_key", F.struct(*columns))
+    computed = compute(distinct)
+    added = [c for c in computed.columns if c != "_key"]
+    dictionary = computed.select("_key", F.struct(*added).alias("_computed"))
+    others = [c for c in df.columns if c not in columns]
+    keyed = df.select(*others, F.struct(*columns).alias("_key"))
+    joined = lookup_join(keyed, dictionary, "_key", "inner", hot_keys)
+    kept = [F.col(f"_computed.{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
+    return joined.select(*kept, *[F.col(f"_computed.{c}").alias(c) for c in added if c not in df.columns])

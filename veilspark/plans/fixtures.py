@@ -67,6 +67,8 @@ SELECT customer_id, concat('Profile ', full_name) AS full_name,
 FROM ({customers}) c WHERE kyc_segment <> 'BUILDING'
 """
 
+#: Tables whose rows are costly to work on.
+_WORKED_ON = ("documents", "conversations", "orders")
 _NAMES = {"orders": "orders", "customer": "customer", "nation": "nation"}
 
 
@@ -81,7 +83,16 @@ PROFILES = PROFILES_SQL.format(customers=CUSTOMERS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, in at least as many partitions as there are cores.
+
+    A small file is one partition, and the work per row here is worth more than moving it. Tables of
+    many files are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in _WORKED_ON or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -345,6 +345,39 @@ def unmask_transactions(spark, sf_dir):
     )
 
 
+_CUSTOMER_LEVEL = list(TRANSACTION_ENCRYPTED)
+
+
+@query(
+    with_inputs(
+        "SELECT transaction_id, mcc % 2 AS parity, amount * 1.37::DOUBLE AS amount, "
+        + ", ".join(f"{sql_iv(c, c)} AS {c}" for c in TRANSACTION_ENCRYPTED)
+        + " FROM transactions"
+    )
+)
+def mask_transactions_by_dictionary(spark, sf_dir):
+    """Customer columns repeat across transactions: each combination is encrypted once."""
+    config = fx.config()
+    masked = masking.mask_repeated(
+        fx.transactions(spark, sf_dir).withColumn("parity", F.col("mcc") % 2), _CUSTOMER_LEVEL,
+        MaskPolicy.transactions(config), fx.keyring(spark), config,
+    )
+    return masked.select("transaction_id", "parity", "amount", *[_iv(c) for c in _CUSTOMER_LEVEL])
+
+
+@query(
+    with_inputs(
+        "SELECT * REPLACE (round(amount, 2) AS amount, round(available_balance, 2) AS available_balance) "
+        "FROM transactions"
+    )
+)
+def unmask_transactions_by_dictionary(spark, sf_dir):
+    config, ring = fx.config(), fx.keyring(spark)
+    policy = MaskPolicy.transactions(config)
+    masked = masking.mask_repeated(fx.transactions(spark, sf_dir), _CUSTOMER_LEVEL, policy, ring, config)
+    return masking.unmask_repeated(masked, _CUSTOMER_LEVEL, policy, ring, config, round_to=2)
+
+
 @query(
     with_inputs(
         "SELECT "

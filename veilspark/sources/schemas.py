@@ -112,6 +112,10 @@ def classes_of(schema: T.StructType) -> dict[str, str]:
     return {f.name: f.metadata.get(KEY, DEFAULT_CLASS) for f in schema.fields}
 
 
+def declared_classes(schema: T.StructType) -> dict[str, str]:
+    return {f.name: f.metadata[KEY] for f in schema.fields if KEY in f.metadata}
+
+
 def with_classes(df: DataFrame, classes: dict[str, str]) -> DataFrame:
     """Attach data classes. Expressions drop column metadata, so operators call this last."""
     unknown = set(classes.values()) - set(CLASSES)
