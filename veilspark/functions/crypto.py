@@ -58,26 +58,32 @@ def token_bytes(token: Column) -> Column:
     return F.try_to_binary(shaped, F.lit("base64"))
 
 
-def decrypt_unverified(token: Column, keys: Column) -> Column:
-    """``struct<iv, plain>`` of a token before its authenticity is known."""
-    raw = token_bytes(token)
+def _open(raw: Column, keys: Column) -> Column:
     return F.struct(
         F.substring(raw, 1, 16).alias("iv"),
         F.try_aes_decrypt(raw, keys["k_enc"], F.lit("CBC"), F.lit("PKCS")).alias("plain"),
     )
 
 
+def decrypt_unverified(token: Column, keys: Column) -> Column:
+    """``struct<iv, plain>`` of a token before its authenticity is known."""
+    return _open(token_bytes(token), keys)
+
+
 def verified(opened: Column, field: Column, version: Column, keys: Column, domain: str) -> Column:
     """Plaintext if the recomputed IV equals the stored one, else null."""
     iv = synthetic_iv(opened["plain"], field, version, keys, domain)
     return F.when(iv == opened["iv"], opened["plain"].cast("string"))
 
 
+def decrypt_bytes(raw: Column, field: Column, version: Column, keys: Column, domain: str) -> Column:
+    """Decrypt the bytes of a token; null if they do not belong to the field, version and key."""
+    return bind(_open(raw, keys), lambda opened: verified(opened, field, version, keys, domain))
+
+
 def decrypt(token: Column, field: Column, version: Column, keys: Column, domain: str) -> Column:
     """Decrypt a token; null if it was altered or belongs to another field, version or key."""
-    return bind(
-        decrypt_unverified(token, keys), lambda opened: verified(opened, field, version, keys, domain)
-    )
+    return bind(token_bytes(token), lambda raw: decrypt_bytes(raw, field, version, keys, domain))
 
 
 def fail_unless(ok: Column, value: Column, message: Column) -> Column:

@@ -128,14 +128,19 @@ def open_text(text: Column, keys_by_version: Column, domain: str) -> Column:
         ).otherwise(F.struct(joined.alias("plain"), F.lit(None).cast("string").alias("problem")))
 
     def opened(token: Column) -> Column:
-        version = F.regexp_extract(token, TOKEN_PATTERN, 1)
-        field = F.regexp_extract(token, TOKEN_PATTERN, 2)
-        cipher = F.regexp_extract(token, TOKEN_PATTERN, 3)
-        keys = F.try_element_at(keys_by_version, version)
-        return F.struct(
-            field.alias("field"),
-            crypto.decrypt(cipher, field, version, keys, domain).alias("plain"),
-        )
+        # "[[ENC", version, field, cipher and "]]": a plain split, as the pattern has matched already
+        return bind(F.split(token, r"\|"), lambda p: bind(
+            F.struct(
+                p[1].alias("version"),
+                p[2].alias("field"),
+                F.unbase64(F.translate(F.left(p[3], F.length(p[3]) - 2), "-_", "+/")).alias("raw"),
+                F.try_element_at(keys_by_version, p[1]).alias("keys"),
+            ),
+            lambda t: F.struct(
+                t["field"].alias("field"),
+                crypto.decrypt_bytes(t["raw"], t["field"], t["version"], t["keys"], domain).alias("plain"),
+            ),
+        ))
 
     gaps = F.split(text, TOKEN_PATTERN, -1)
     tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))

@@ -9,14 +9,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPREAD = 32
 
 
-def hottest_keys(df: DataFrame, key: str, count: int) -> Column:
-    """The ``count`` most frequent keys as one array: a scalar subquery bounded by ``count``.
+def is_hot(df: DataFrame, key: str, count: int) -> Column:
+    """Whether a row's ``key`` is among the ``count`` most frequent ones of ``df``.
 
-    Counts are combined before the shuffle. Ties break on the key, so every use sees the same set.
+    Keys are counted by their hash, combined before the shuffle, and the top ones form one array: a
+    scalar subquery bounded by ``count``. Ties break on the hash, so every use sees the same set; a
+    key that shares a hot hash counts as hot too, which does no harm.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.col(key)).limit(count)
-    return top.agg(F.collect_list(key).alias("k")).scalar()
+    counts = df.groupBy(F.xxhash64(key).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "code").limit(count)
+    codes = top.agg(F.collect_list("code").alias("codes")).scalar()
+    return F.coalesce(F.array_contains(codes, F.xxhash64(key)), F.lit(False))
+
+
+def buckets_of(hot: Column) -> Column:
+    """Bucket numbers a lookup row is repeated for."""
+    return F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+
+
+def bucket_of(hot: Column, *columns: str) -> Column:
+    """Bucket of a fact row. The row itself decides, so a retried task puts it in the same place."""
+    return F.when(hot, F.pmod(F.xxhash64(*columns), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
 
 
 def lookup_join(
@@ -32,14 +45,9 @@ def lookup_join(
         raise ValueError("how must be 'inner' or 'left'")
     if not hot_keys:
         return facts.join(lookup, key, how)
-    hot = F.coalesce(
-        F.array_contains(hottest_keys(facts, key, hot_keys), F.col(key)), F.lit(False)
-    )
-    # The row itself decides the bucket, so a retried task puts its rows in the same place.
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD))
-    salted = facts.withColumn("_salt", F.when(hot, spread).otherwise(F.lit(0)).cast("int"))
-    buckets = F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    repeated = lookup.withColumn("_salt", F.explode(buckets))
+    hot = is_hot(facts, key, hot_keys)
+    salted = facts.withColumn("_salt", bucket_of(hot, *facts.columns))
+    repeated = lookup.withColumn("_salt", F.explode(buckets_of(hot)))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
@@ -52,7 +60,11 @@ def via_dictionary(
     one that most rows share is spread (see :func:`lookup_join`). Pays off where values repeat often,
     as customer columns do in transactions. ``compute`` maps the columns and may add others.
     """
+    # A fixed number of partitions: adaptive execution would merge the few distinct rows, by their
+    # size, into few tasks, but they are costly to compute.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = df.select(*columns).distinct().withColumn("_key", F.struct(*columns))
+    distinct = distinct.repartition(tasks, "_key")
     computed = compute(distinct)
     added = [c for c in computed.columns if c != "_key"]
     dictionary = computed.select("_key", F.struct(*added).alias("_computed"))

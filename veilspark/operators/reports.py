@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from veilspark.functions import recognizers
 from veilspark.functions.recognizers import DEFAULT_REGISTRY, Recognizer
 from veilspark.operators import egress
-from veilspark.operators.lookup import SPREAD, hottest_keys
+from veilspark.operators.lookup import bucket_of, buckets_of, is_hot
 from veilspark.operators.rows import one_row_each
 
 
@@ -157,10 +157,7 @@ def corpus_leaks(
         )
     )
     # An n-gram that is in very many texts is spread; the values, distinct already, are repeated for it.
-    hot = F.coalesce(F.array_contains(hottest_keys(grams, "gram", hot_keys), F.col("gram")), F.lit(False))
-    salted = grams.withColumn(
-        "_salt", F.when(hot, F.pmod(F.xxhash64(key), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int")
-    )
-    buckets = F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    repeated = sought.select("gram", F.explode(buckets).alias("_salt"))
+    hot = is_hot(grams, "gram", hot_keys)
+    salted = grams.withColumn("_salt", bucket_of(hot, key))
+    repeated = sought.select("gram", F.explode(buckets_of(hot)).alias("_salt"))
     return salted.join(repeated, ["gram", "_salt"], "left_semi").select(key, F.col("gram").alias("value"))
