@@ -277,6 +277,12 @@ def test_unmask_errors(spark, ring, config):
     df = spark.createDataFrame([("no token",)], "masked_text string")
     with pytest.raises(Exception, match="No ENC tokens"):
         explain.unmask_texts(df, ring, config).collect()
+    forged = ["A", "AA", "A" * 43 + "=", "A" * 44, "A" * 50, "A" * 64 + "=="]
+    df = spark.createDataFrame([(f"x [[ENC|v1|f|{c}]] y",) for c in forged], "masked_text string")
+    rows = explain.unmask_texts(df, ring, config, on_error="null").collect()
+    assert {r.problem for r in rows} == {"Failed to decrypt token for field 'f'"}
+    old = spark.createDataFrame([("[[ENC|v9|f|" + "A" * 44 + "]]",)], "masked_text string")
+    assert explain.unmask_texts(old, ring, config, on_error="null").first().text is None
 
 
 def test_enc_token_is_a_full_match(spark):

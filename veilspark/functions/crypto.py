@@ -52,10 +52,14 @@ def encrypt(value: Column, field: Column, version: Column, keys: Column, domain:
     return F.translate(F.base64(raw), "+/\r\n", "-_")
 
 
+def decode(cipher: Column) -> Column:
+    """Bytes of a base64url text, null if it is not valid."""
+    return F.try_to_binary(F.translate(cipher, "-_", "+/"), F.lit("base64"))
+
+
 def token_bytes(token: Column) -> Column:
     """Bytes of a token, or null if it does not have the shape of one."""
-    shaped = F.when(token.rlike(CIPHERTEXT_SHAPE), F.translate(token, "-_", "+/"))
-    return F.try_to_binary(shaped, F.lit("base64"))
+    return decode(F.when(token.rlike(CIPHERTEXT_SHAPE), token))
 
 
 def _open(raw: Column, keys: Column) -> Column:

@@ -133,7 +133,7 @@ def open_text(text: Column, keys_by_version: Column, domain: str) -> Column:
             F.struct(
                 p[1].alias("version"),
                 p[2].alias("field"),
-                F.unbase64(F.translate(F.left(p[3], F.length(p[3]) - 2), "-_", "+/")).alias("raw"),
+                crypto.decode(F.left(p[3], F.length(p[3]) - 2)).alias("raw"),
                 F.try_element_at(keys_by_version, p[1]).alias("keys"),
             ),
             lambda t: F.struct(
