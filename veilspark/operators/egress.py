@@ -165,7 +165,8 @@ def guard(df: DataFrame, destination: str, mode: str = "fail", **options):
     """Stop plaintext from leaving.
 
     ``fail`` returns the rows; a job that reads a guarded column of them fails at its first violation.
-    ``split`` returns ``(passed, quarantined)``; ``report`` returns all rows with their violations.
+    ``split`` returns ``(passed, quarantined)``, which each read the input; ``report`` returns all rows
+    with their violations, and ``sinks.write_split`` writes both sides of that in one pass.
     """
     if mode == "report":
         return report(df, destination, **options)

@@ -58,7 +58,8 @@ def via_dictionary(
 
     Distinct combinations are reduced before they are shuffled, computed, and joined back by value;
     one that most rows share is spread (see :func:`lookup_join`). Pays off where values repeat often,
-    as customer columns do in transactions. ``compute`` maps the columns and may add others.
+    as customer columns do in transactions. ``compute`` maps the columns and may add others. ``df`` is
+    read several times, so it should be a stored table rather than the end of a long computation.
     """
     # A fixed number of partitions: adaptive execution would merge the few distinct rows, by their
     # size, into few tasks, but they are costly to compute.

@@ -374,7 +374,9 @@ def mask_transactions_by_dictionary(spark, sf_dir):
 def unmask_transactions_by_dictionary(spark, sf_dir):
     config, ring = fx.config(), fx.keyring(spark)
     policy = MaskPolicy.transactions(config)
-    masked = masking.mask_repeated(fx.transactions(spark, sf_dir), _CUSTOMER_LEVEL, policy, ring, config)
+    path = shared_folder(spark, "masked")
+    _masked(spark, sf_dir).write.parquet(path)
+    masked = spark.read.parquet(path)
     return masking.unmask_repeated(masked, _CUSTOMER_LEVEL, policy, ring, config, round_to=2)
 
 
