@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from veilspark.functions import spans as sp
-from veilspark.functions.crypto import bind
 
 CONTEXT_WORDS_BEFORE = 5
 CONTEXT_BOOST = 0.35

@@ -32,7 +32,7 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def _hits(source: str, key: str, number: int, recognizer: R.Recognizer) -> str:
+def _hits(source: str, key: str, recognizer: R.Recognizer) -> str:
     pattern = _quoted(("(?i)" if recognizer.ignore_case else "") + recognizer.pattern)
     words = ", ".join(f"'{w}'" for w in recognizer.context)
     score = 1.0 if recognizer.validator else recognizer.score
@@ -54,7 +54,7 @@ def _hits(source: str, key: str, number: int, recognizer: R.Recognizer) -> str:
 def entities(source: str, key: str, registry: Iterable[R.Recognizer] = R.DEFAULT_REGISTRY,
              threshold: float = 0.35) -> str:
     """CTEs ``raw`` and ``entities(k, entity_type, start, end, value, score)`` over ``source(key, text)``."""
-    union = " UNION ALL ".join(_hits(source, key, i, r) for i, r in enumerate(registry))
+    union = " UNION ALL ".join(_hits(source, key, r) for r in registry)
     return f"""
     raw AS (SELECT DISTINCT * FROM ({union})),
     entities AS (
