@@ -92,6 +92,11 @@ class RangeHash:
                 cls._powers[base] = have
         return have
 
+    def every(self, size: int) -> np.ndarray:
+        """The hash of each range of so many bytes, by its start."""
+        count = max(0, len(self._sums) - size)
+        return mixed((self._sums[size : size + count] - self._sums[:count]) * self._inverse[:count] + np.uint64(size))
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
 
