@@ -3,12 +3,14 @@
 1. Each text becomes a set of hashed word shingles, one hash of it per bin (the smallest that falls there), an empty bin
    borrowing from the first non-empty one of its own probing sequence. Runs of bins are bands; documents that agree on a
    band share a bucket.
-2. Documents with the same set are one class from here on. Each bucket proposes links from one centre to its other
-   members: a star, not all pairs.
+2. Documents with the same set are one class from here on. Each bucket proposes links from one centre, its member with the
+   fullest buckets, to the others: a star, not all pairs.
 3. Every proposed link is confirmed on the full sets, and linked classes are joined to components.
-4. A star alone would miss a link between two members that the centre does not resemble. So every bucket that still
-   holds several components gets new centres, from outside its largest component, until its members are one component
-   or have all been compared. Nothing is capped: the number of centres grows from round to round.
+4. A star alone would miss a link between two members when the centre resembles one of them too little. Both are known by what
+   they differ from the centre in, and the difference of two members is the difference of these two differences. So a member
+   that the centre resembles too little can be linked only with one that shares much of its difference. Such pairs are found
+   by a join on the rarest elements of the differences, as many as the bound requires, and confirmed like the others. Nothing is
+   capped.
 
 The chance of no common bucket is (1 - s^rows)^bands for similarity s: about 3 in a million at 0.8 with the defaults, and less
 above.
@@ -20,7 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilspark.llm import text_bytes as tb
 from veilspark.llm.components import components
@@ -109,26 +111,67 @@ def _shingles(words: int) -> Callable[[pa.Array], pa.Array]:
     return shingles
 
 
+def _stars(placed: DataFrame) -> DataFrame:
+    """Pairs `a`, `b` of a centre and another member of a bucket."""
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = written(placed.join(sizes, "key"), "buckets")
+    fullness = members.groupBy("node").agg(F.sum("size").alias("fullness"))
+    centres = members.join(fullness, "node").groupBy("key").agg(F.max(F.struct("fullness", "node"))["node"].alias("centre"))
+    pairs = members.join(centres, "key").where("node <> centre")
+    return written(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs `a`, `b` with their sets."""
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return with_b.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+
+
+def _alike(difference: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of so many elements together that differ in so many are similar enough."""
+    return (100 + percent) * difference <= (100 - percent) * sizes
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs `a`, `b` with the sizes of their sets, the elements that only one of them has, and whether they are linked."""
+    difference = F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a"))
+    both = _with_sets(pairs, sets).select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), difference.alias("difference"))
+    return both.withColumn("linked", _alike(F.size("difference"), F.col("n_a") + F.col("n_b"), percent))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs `a`, `b` whose sets are similar enough."""
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    both = _with_sets(pairs, sets)
+    sizes = F.size("set_a") + F.size("set_b")
+    return both.where(_alike(sizes - 2 * F.size(F.array_intersect("set_a", "set_b")), sizes, percent)).select("a", "b")
+
 
+def _beside_centre(compared: DataFrame, percent: int) -> DataFrame:
+    """Pairs `a`, `b` of members of a star that may be linked although the centre is not linked with one of them.
 
-def _next_centres(members: DataFrame, labels: DataFrame, centres: int) -> DataFrame:
-    """Members of buckets that hold several components: `key`, `node`, `label` and `centre`, true for those to compare next."""
-    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    tops = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top"))
-    split = labelled.join(tops.where("labels > 1"), "key")
-    outside = split.where(F.col("label") != F.col("top"))
-    chosen = outside.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("label", "node")))
-    chosen = chosen.where(F.col("nth") <= centres).select("key", "node", "label", F.lit(True).alias("centre"))
-    rest = split.select("key", "node", "label").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-    return chosen.unionAll(rest.withColumn("centre", F.lit(False)))
+    For members x and y of a star, with differences X and Y from the centre, the sets differ in |X| + |Y| - 2 |X and Y|. If the
+    centre is not linked with x, a link of x and y needs more than half of |Y| + r (centre - y) in common, where r is
+    (100 - percent) / (100 + percent). So it has one among the first of Y in any order, as many as the rest leaves.
+    """
+    stars = compared.groupBy("a").agg(F.count(F.lit(1)).alias("members"), F.min("linked").alias("all_linked"))
+    stars = stars.where("members > 1 and not all_linked").select("a")
+    inner = compared.join(stars, "a").withColumn("n", F.size("difference"))
+    elements = written(inner.select("a", "b", "n_a", "n_b", "n", "linked", F.explode("difference").alias("element")), "differences")
+    counts = elements.groupBy("a", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = elements.join(counts, ["a", "element"])
+    # An element that no other member of the star has comes before all shared ones.
+    own = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "element")) + own
+    ordered = written(shared.withColumn("place", place), "ordered-differences")
+
+    least = F.floor(((100 + percent) * F.col("n") + (100 - percent) * (F.col("n_a") - F.col("n_b"))) / (2 * (100 + percent))) + 1
+    y = ordered.where(F.col("place") <= F.col("n") - least + 1).alias("y")
+    x = ordered.where("not linked").alias("x")
+    common = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    needed = (100 + percent) * (F.col("x.n") + F.col("y.n")) - (100 - percent) * (F.col("x.n_b") + F.col("y.n_b"))
+    meet = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.b") != F.col("y.b"))
+    pairs = x.join(y, meet & (2 * (100 + percent) * common >= needed))
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -164,37 +207,18 @@ def near_duplicates(
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
 
     placed = classes.select("node", F.explode("keys").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(placed.join(buckets.select("key", "centre"), "key"), "buckets")
+    pairs = _stars(placed)
 
-    used = members.select("node").distinct().join(classes, "node").select("node", "example", *prints)
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "example", *prints)
     texts = df.select(F.col(f"`{id_col}`").alias("id"), whole(f"`{text_col}`").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     same = (texts["text_hash"] == F.col("example.text_hash")) & texts["id"].eqNullSafe(F.col("example.id"))
     sets = texts.join(used, same).select("node", F.arrow_udf(_shingles(words), "array<bigint>")("text").alias("set"))
     sets = written(sets, "shingle-sets")
 
-    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = compared = written(pairs, "pairs")
-    links = written(_confirmed(pairs, sets, percent), "links")
-    labels = components(links)
-    members = members.where("node <> centre").select("key", "node")
-    centres = 1
-    while True:
-        turn = written(_next_centres(members, labels, centres), "turns")
-        if turn.isEmpty():
-            break
-        one, other = turn.where("centre").alias("one"), turn.alias("other")
-        pairs = one.join(other, F.col("one.key") == F.col("other.key")).where("one.label <> other.label")
-        pairs = pairs.select(F.least("one.node", "other.node").alias("a"), F.greatest("one.node", "other.node").alias("b"))
-        pairs = written(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        found = written(_confirmed(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            labels = components(links)
-        compared = compared.unionAll(pairs)
-        members = turn.where("not centre").select("key", "node")
-        centres *= 4
+    compared = written(_compared(pairs, sets, percent), "compared")
+    more = written(_beside_centre(compared, percent), "pairs")
+    labels = components(compared.where("linked").select("a", "b").unionAll(_confirmed(more, sets, percent)))
 
     labelled = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
