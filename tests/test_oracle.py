@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from veilspark.plans import catalog
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +16,7 @@ def db():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, db, name):
     df = entry.queries()[name](spark, SF_DIR)
     assert oracle.compare(df, db, entry.oracle_sql()[name]) is None

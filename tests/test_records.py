@@ -72,7 +72,7 @@ def test_timestamps(spark):
 def test_json_records(spark):
     lines = [
         SAMPLE,
-        {**SAMPLE, "mcc": "5411", "amount": "275.50", "is_card_present": "yes"},
+        {**SAMPLE, "mcc": "5411", "amount": "310.25", "is_card_present": "yes"},
         {**SAMPLE, "mcc": 5411.0},
         {**SAMPLE, "mcc": "abc", "phone": 974},
         {**SAMPLE, "mcc": 54.5, "is_card_present": 7},
@@ -85,7 +85,7 @@ def test_json_records(spark):
     assert [r.type_errors for r in rows] == [
         [], [], [], ["phone", "mcc"], ["mcc", "is_card_present"], [], [], ["record"], ["record"],
     ]
-    assert [r.mcc for r in rows[:3]] == [5411] * 3 and rows[1].amount == 275.5 and rows[1].is_card_present is True
+    assert [r.mcc for r in rows[:3]] == [5942, 5411, 5411] and rows[1].amount == 310.25 and rows[1].is_card_present is True
     assert rows[5].email is None and rows[6].email is None
 
 
@@ -132,8 +132,8 @@ def test_vault_round_trip(spark, make, ring, config, tmp_path):
     predictions = scoring.cloud_predictions(masked)
     stored = vault.read_vault(spark, path)
     restored = vault.restore_identity(predictions, stored).orderBy("transaction_id").collect()
-    assert [r.card_pan_last4 for r in restored] == ["1111", "0002"]
-    assert restored[0].recommendation.startswith("DECLINE") and restored[0].amount_original == 275.5
+    assert [r.card_pan_last4 for r in restored] == ["4444", "0002"]
+    assert restored[0].recommendation.startswith("DECLINE") and restored[0].amount_original == 310.25
     unknown = spark.createDataFrame([("MASK-0", 0.1, "m")], schemas.PREDICTION)
     assert vault.restore_identity(unknown, stored).count() == 0
     assert vault.unmatched(unknown.unionAll(predictions), stored).count() == 1
@@ -147,8 +147,8 @@ def test_vault_expiry_is_strict(spark, make, ring, config, tmp_path):
     vault.mask_and_track(make(), path, "r1", ring, config, F.lit("2026-01-20 10:00:00"))
     at = lambda t: vault.read_vault(spark, path, F.lit(t), 24).count()
     assert (at("2026-01-21 10:00:00"), at("2026-01-21 10:00:01")) == (1, 0)
-    assert vault.expired_dates(spark, path, "2026-01-22 00:00:00", 24) == ["2026-01-20"]
-    assert vault.expired_dates(spark, path, "2026-01-21 09:00:00", 24) == []
+    assert vault.expired_dates(spark, path, "2026-01-22 00:00:00", 24) .count() == 1
+    assert vault.expired_dates(spark, path, "2026-01-21 09:00:00", 24).count() == 0
 
 
 def test_expiry_prunes_partitions(spark, make, ring, config, tmp_path):
@@ -169,14 +169,14 @@ def test_restore_reads_needed_fields_only(spark, make, ring, config, tmp_path):
 
 def test_profile_is_chosen_per_record(spark, make):
     profile = spark.createDataFrame(
-        [("CUST-QA-00987234", "Profile Name", None, "p@x.com", "There", "GOLD", "EN")], schemas.CUSTOMER
+        [("CUST-AT-00451907", "Profile Name", None, "p@x.com", "There", "GOLD", "EN")], schemas.CUSTOMER
     )
-    df = make({}, {"transaction_id": "b", "customer_id": "CUST-QA-1111111"})
-    for hot_keys in (0, 64):
-        joined = scoring.with_profile(df, profile, hot_keys)
+    df = make({}, {"transaction_id": "b", "customer_id": "CUST-AT-1111111"})
+    for split_hot in (False, True):
+        joined = scoring.with_profile(df, profile, split_hot)
         rows = joined.orderBy("transaction_id").select(*[c.alias(n) for n, c in scoring.contact(joined).items()]).collect()
         assert tuple(rows[0]) == ("Profile Name", None, "p@x.com", "There")
-        assert rows[1].full_name == "John Smith" and rows[1].phone == "+974 5512 3456"
+        assert rows[1].full_name == "Mona Keller" and rows[1].phone == "+974 5512 3456"
 
 
 def test_hot_keys_do_not_change_joins(spark):
@@ -187,8 +187,10 @@ def test_hot_keys_do_not_change_joins(spark):
     table = spark.createDataFrame([("hot", 0)] + [(f"k{i}", i) for i in range(30)], "k string, v int")
     for how in ("inner", "left"):
         plain = lookup.lookup_join(facts, table, "k", how)
-        spread = lookup.lookup_join(facts, table, "k", how, hot_keys=3)
+        spread = lookup.lookup_join(facts, table, "k", how, split_hot=True)
         assert plain.count() == spread.count()
+        pieces = {r.pieces for r in lookup.hot_pieces(facts.where("k = 'hot'"), "k").collect()}
+        assert pieces == {int(spark.conf.get("spark.sql.shuffle.partitions"))}
         assert plain.select("k", "id", "v").exceptAll(spread.select("k", "id", "v")).count() == 0
 
 
@@ -201,9 +203,9 @@ def test_jobs_on_the_sample(spark, make, ring, config):
     none = spark.createDataFrame([], schemas.CUSTOMER)
     explained = jobs.explain_transactions(make(), none, ring, config).first()
     assert explained.unmasked_result.rm_explanation == (
-        "Transaction by John Smith for 275.50 at CARREFOUR CITY CENTER DOHA on 2026-01-20T10:15:30+03:00 received "
+        "Transaction by Mona Keller for 310.25 at NORTHSIDE BOOKS LINZ on 2027-03-08T06:42:11+01:00 received "
         "fraud score 75%. Reasons: DEVICE_NEW, AMOUNT_SPIKE, GEO_MISMATCH. Customer contact: +974 5512 3456, "
-        "john.smith@example.com."
+        "mona.keller@example.org."
     )
     run = jobs.full_artifacts(
         make(), none, shared_folder(spark, "vault"), "r1", ring, config, F.lit("2026-01-20 10:00:00")
@@ -212,7 +214,30 @@ def test_jobs_on_the_sample(spark, make, ring, config):
     assert {"EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "CUSTOMER_ID"} <= found
     assert run.preflight_scan.entity_count == 0 and len(run.request.tokens) == 7
     assert run._fraud_scoring.risk_level == "HIGH"
-    assert run.cloud_payload.amount == pytest.approx(377.435)
-    assert "John" not in run.request.prompt
+    assert run.cloud_payload.amount == pytest.approx(425.0425)
+    assert "Mona" not in run.request.prompt
     locked = fx.config().__class__(log_hash_salt="s")
     assert "unmasked_result" not in jobs.explain_transactions(make(), none, ring, locked).columns
+
+
+def test_conform_refuses_what_does_not_fit(spark, make):
+    row = readers.conform(make().withColumn("mcc", F.lit(5411.7)).withColumn("phone", F.lit(974)), schemas.TRANSACTION).first()
+    assert row.mcc is None and row.phone is None and row.type_errors == ["phone", "mcc"]
+    assert readers.conform(make().withColumn("mcc", F.lit(5411.0)), schemas.TRANSACTION).first().mcc == 5411
+
+
+def test_not_a_number_is_no_amount(make):
+    rows = validation.validate(make({"amount": float("nan")}), validation.transaction_rules())
+    assert rows.first().violations == ["amount_not_negative"]
+
+
+def test_vault_files_keep_the_order_of_ids(spark, make, ring, config, tmp_path):
+    path = str(tmp_path / "vault")
+    df = make(*[{"transaction_id": str(i)} for i in range(60)]).repartition(3)
+    day = F.when(F.col("transaction_id").cast("int") % 2 == 0, "2026-01-20 10:00:00").otherwise("2026-01-21 10:00:00")
+    vault.write_vault(vault.vault_rows(df, ring, config, day), path, "r1")
+    files = spark.read.parquet(path).inputFiles()
+    ids = [[r.masked_id for r in spark.read.parquet(f).collect()] for f in files]
+    assert len(files) == 6 and all(x == sorted(x) for x in ids)
+    with pytest.raises(ValueError):
+        vault.write_vault(vault.vault_rows(df, ring, config, day), path, "../other")

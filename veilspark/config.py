@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # Masking defaults that results depend on.
 SCALE_FACTORS = {"amount": 1.37, "available_balance": 0.83, "credit_limit": 1.11}
@@ -30,9 +30,6 @@ CATEGORY_DOMAIN = 10_000
 VAULT_TTL_HOURS = 24
 SCORE_THRESHOLD = 0.35
 
-#: Most rows a policy table may have; it is read on the driver.
-MAX_POLICY_ROWS = 10_000
-
 
 class UnmaskDisabled(PermissionError):
     """Raised when an unmask operator is called without permission."""
@@ -104,14 +101,18 @@ class MaskPolicy:
         return cls({name: Strategy("encrypt") for name in CUSTOMER_ENCRYPTED})
 
     @classmethod
-    def from_table(cls, policy: DataFrame, config: EngineConfig) -> MaskPolicy:
-        """Read ``(column, strategy[, factor])`` rows. A policy describes columns, so it is small."""
-        rows = policy.limit(MAX_POLICY_ROWS + 1).collect()
-        if len(rows) > MAX_POLICY_ROWS:
-            raise ValueError(f"a policy table may have at most {MAX_POLICY_ROWS} rows")
+    def from_table(cls, policy: DataFrame, masked: DataFrame, config: EngineConfig) -> MaskPolicy:
+        """Read the ``(column, strategy[, factor])`` rows that name columns of the table to be masked.
+
+        Each column is named once at most, so what the driver reads is bounded by the table's columns.
+        """
+        named = policy.where(F.col("column").isin(masked.columns)).groupBy("column")
+        rows = named.agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("*")).alias("row")).collect()
+        if twice := sorted(r["column"] for r in rows if r["times"] > 1):
+            raise ValueError(f"columns with several policy rows: {', '.join(twice)}")
         columns = {}
-        for row in rows:
-            values = row.asDict()
+        for found in rows:
+            values = found["row"].asDict()
             columns[values["column"]] = Strategy(
                 values["strategy"],
                 factor=values.get("factor") or config.scale_factors.get(values["column"], 1.0),

@@ -89,9 +89,11 @@ def mask_text(text: Column, replacements: Column, version: str, keys: Column, do
     )
     bad_key = F.exists(replacements, lambda p: p["key"].contains("|") | (p["key"] == "")
                        | p["key"].rlike(_RESERVED))
+    bad_value = F.exists(replacements, lambda p: p["value"].rlike(_RESERVED))
     return (
         F.when(text.rlike(_RESERVED), F.raise_error(F.lit("text holds a reserved character")))
         .when(bad_key, F.raise_error(F.lit("a replacement key is empty or holds a reserved character")))
+        .when(bad_value, F.raise_error(F.lit("a replacement value holds a reserved character")))
         .when(replacements.isNull(), text)
         .otherwise(masked)
     )

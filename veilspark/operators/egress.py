@@ -65,10 +65,9 @@ def _leaf_violations(
         found = [v for v in found if v is not None]
         return F.concat(*found) if found else None
     if isinstance(data_type, T.ArrayType):
-        probe = _leaf_violations(
-            F.lit(None), data_type.elementType, data_class, F.lit(""), destination, classes, name, None
-        )
-        if probe is None:
+        if data_class not in GUARDED[destination] and not _guards_inside(data_type.elementType, destination, classes, name):
+            return None
+        if _record(data_type.elementType) and not _guards_inside(data_type.elementType, destination, classes, name):
             return None
         return F.coalesce(
             F.flatten(
@@ -84,27 +83,61 @@ def _leaf_violations(
             _none(),
         )
     if isinstance(data_type, T.MapType):
-        if data_class not in GUARDED[destination]:
+        # A record's own fields decide, whatever the class of the map; keys are of the map's class. A key that must be
+        # masked is named by its place, so that the report does not show it.
+        guarded = data_class in GUARDED[destination]
+
+        def entry_violations(entry: Column, i: Column) -> Column | None:
+            shown = F.concat(F.lit("{"), i.cast("string"), F.lit("}")) if guarded else F.concat(F.lit("."), entry["key"].cast("string"))
+            inside = _leaf_violations(
+                entry["value"], data_type.valueType, data_class, F.concat(path, shown), destination, classes, name, authentic
+            )
+            if not guarded:
+                return inside
+            key = _leaf_violations(
+                entry["key"], data_type.keyType, data_class, F.concat(path, shown, F.lit(".key")), destination, classes, name, authentic
+            )
+            return F.concat(*(v for v in (key, inside) if v is not None))
+
+        if not guarded and not _guards_inside(data_type.valueType, destination, classes, name):
             return None
-        return F.coalesce(
-            F.flatten(
-                F.transform(
-                    F.map_entries(value),
-                    lambda entry: _leaf_violations(
-                        entry["value"], data_type.valueType, data_class,
-                        F.concat(path, F.lit("."), entry["key"].cast("string")),
-                        destination, classes, name, authentic,
-                    ),
-                )
-            ),
-            _none(),
-        )
+        return F.coalesce(F.flatten(F.transform(F.map_entries(value), entry_violations)), _none())
     if data_class not in GUARDED[destination]:
         return None
     bad = value.isNotNull() & ~_holds(value, data_type, destination, authentic)
     return F.when(bad, F.array(_violation(path, data_class, destination))).otherwise(_none())
 
 
+def _record(data_type: T.DataType) -> T.StructType | None:
+    """The record inside arrays and map values, if any."""
+    while isinstance(data_type, (T.ArrayType, T.MapType)):
+        data_type = data_type.elementType if isinstance(data_type, T.ArrayType) else data_type.valueType
+    return data_type if isinstance(data_type, T.StructType) else None
+
+
+def _guards_inside(data_type: T.DataType, destination: str, classes: dict[str, str], name: str) -> bool:
+    """Whether any field of the record inside is of a guarded class."""
+    record = _record(data_type)
+    return bool(record) and any(
+        _guards_inside(f.dataType, destination, classes, f"{name}.{f.name}")
+        if isinstance(f.dataType, T.StructType)
+        else _class_of(f, f"{name}.{f.name}", classes) in GUARDED[destination]
+        or _guards_inside(f.dataType, destination, classes, f"{name}.{f.name}")
+        for f in record.fields
+    )
+
+
+def _undeclared(fields: list[T.StructField], prefix: str, classes: dict[str, str]) -> list[str]:
+    """Fields without a class, at any depth. A record's own class says nothing about its fields."""
+    bare = []
+    for f in fields:
+        name, record = f"{prefix}{f.name}", _record(f.dataType)
+        if schemas.KEY not in f.metadata and name not in classes and not (prefix and record):
+            bare.append(name)
+        bare += _undeclared(record.fields, f"{name}.", classes) if record else []
+    return bare
+
+
 def _class_of(f: T.StructField, name: str, classes: dict[str, str]) -> str:
     """A struct's fields carry their own class; undeclared ones count as INTERNAL."""
     return classes.get(name) or f.metadata.get(schemas.KEY, schemas.DEFAULT_CLASS)
@@ -117,9 +150,7 @@ def _checked_classes(
         raise ValueError("destination must be 'cloud' or 'llm'")
     classes = classes or {}
     if strict:
-        bare = [f.name for f in df.schema.fields
-                if schemas.KEY not in f.metadata and f.name not in classes]
-        if bare:
+        if bare := _undeclared(df.schema.fields, "", classes):
             raise EgressViolation(f"columns without a data class: {', '.join(bare)}")
     return classes
 
@@ -263,9 +294,10 @@ def leaked_fields(prompt: Column, record: Column, profile: Column | None = None)
 
 
 def redact_for_log(df: DataFrame, salt: str, classes: dict[str, str] | None = None) -> DataFrame:
-    """Replace PII and PCI values by a short salted hash, also inside structs and arrays.
+    """Replace PII and PCI values by a short salted hash, also inside structs, arrays and maps at any depth.
 
-    Null stays null and other classes stay readable. Numbers and booleans become text.
+    Null stays null and other classes stay readable. Numbers and booleans become text. A container of records is
+    opened, and their fields' own classes decide; the keys of a PII or PCI map are replaced as well.
     """
     if not salt:
         raise ValueError("redaction needs a salt")
@@ -281,9 +313,17 @@ def redact_for_log(df: DataFrame, salt: str, classes: dict[str, str] | None = No
                 ]
             )
             return F.when(value.isNotNull(), inner)
-        if isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StructType):
-            return F.transform(
-                value, lambda item: redact(item, data_type.elementType, data_class, name)
+        if isinstance(data_type, T.ArrayType) and _record(data_type):
+            return F.transform(value, lambda item: redact(item, data_type.elementType, data_class, name))
+        if isinstance(data_type, T.MapType) and _record(data_type):
+            return F.map_from_entries(
+                F.transform(
+                    F.map_entries(value),
+                    lambda e: F.struct(
+                        redact(e["key"], data_type.keyType, data_class, name).alias("key"),
+                        redact(e["value"], data_type.valueType, data_class, name).alias("value"),
+                    ),
+                )
             )
         if data_class not in ("PII", "PCI"):
             return value

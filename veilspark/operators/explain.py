@@ -42,12 +42,12 @@ SCAN_TEXT = (
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
-    """Fill ``{name}`` slots of a template with columns."""
+    """Fill ``{name}`` slots of a template with columns; a null leaves its slot empty."""
     parts, rest = [], template
     while "{" in rest:
         text, rest = rest.split("{", 1)
         name, rest = rest.split("}", 1)
-        parts += [F.lit(text), values[name]]
+        parts += [F.lit(text), F.coalesce(values[name].cast("string"), F.lit(""))]
     return F.concat(*parts, F.lit(rest))
 
 

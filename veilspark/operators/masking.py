@@ -51,7 +51,7 @@ def mask(df: DataFrame, policy: MaskPolicy, keyring: KeyRing, config: EngineConf
 
 def mask_repeated(
     df: DataFrame, columns: list[str], policy: MaskPolicy, keyring: KeyRing, config: EngineConfig,
-    hot_keys: int = 64,
+    split_hot: bool = True,
 ) -> DataFrame:
     """As :func:`mask`, but encrypt ``columns`` once per distinct combination of their values.
 
@@ -63,7 +63,7 @@ def mask_repeated(
         raise ValueError("only encrypted columns go through a dictionary")
     rest = MaskPolicy({n: s for n, s in policy.columns.items() if n not in encrypted})
     masked = via_dictionary(
-        df, list(columns), lambda d: mask(d, MaskPolicy(encrypted), keyring, config).drop(VERSION), hot_keys
+        df, list(columns), lambda d: mask(d, MaskPolicy(encrypted), keyring, config).drop(VERSION), split_hot
     )
     out = mask(masked, rest, keyring, config)
     return schemas.with_classes(out, schemas.declared_classes(df.schema))
@@ -71,7 +71,7 @@ def mask_repeated(
 
 def unmask_repeated(
     df: DataFrame, columns: list[str], policy: MaskPolicy, keyring: KeyRing, config: EngineConfig,
-    hot_keys: int = 64, **options,
+    split_hot: bool = True, **options,
 ) -> DataFrame:
     """As :func:`unmask`, but decrypt ``columns`` once per distinct combination of their tokens."""
     config.require_unmask()
@@ -83,7 +83,7 @@ def unmask_repeated(
         plain = unmask(stamped, MaskPolicy(encrypted), keyring, config, **options)
         return plain.withColumnRenamed("_stamp", VERSION)
 
-    joined = via_dictionary(df, [*columns, VERSION], opened, hot_keys)
+    joined = via_dictionary(df, [*columns, VERSION], opened, split_hot)
     out = unmask(joined, rest, keyring, config, **options)
     return schemas.with_classes(out, schemas.declared_classes(df.drop(VERSION).schema))
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from veilspark.functions import recognizers
 from veilspark.functions.recognizers import DEFAULT_REGISTRY, Recognizer
 from veilspark.operators import egress
-from veilspark.operators.lookup import bucket_of, buckets_of, is_hot
 from veilspark.operators.rows import one_row_each
 
 
@@ -119,14 +118,12 @@ _WORDS = r"(?U)[^\W_]+"
 
 
 def corpus_leaks(
-    texts: DataFrame, key: str, text_col: str, values: DataFrame, value_col: str, minimum: int = 5,
-    hot_keys: int = 64,
+    texts: DataFrame, key: str, text_col: str, values: DataFrame, value_col: str, minimum: int = 5
 ) -> DataFrame:
     """Sensitive values that occur in any text, as whole words: ``(key, value)`` rows.
 
     Values and texts are cut into the same words, and the n-grams of a text, for each length that
-    occurs among the values, meet the values in one equi-join. A value that is in a large share of
-    all texts is spread over buckets. Shorter values than ``minimum`` characters do not count.
+    occurs among the values, meet the values in one semi join. Shorter values than ``minimum`` characters do not count.
     """
 
     def words(column: Column) -> Column:
@@ -156,8 +153,5 @@ def corpus_leaks(
             ).alias("gram"),
         )
     )
-    # An n-gram that is in very many texts is spread; the values, distinct already, are repeated for it.
-    hot = is_hot(grams, "gram", hot_keys)
-    salted = grams.withColumn("_salt", bucket_of(hot, key))
-    repeated = sought.select("gram", F.explode(buckets_of(hot)).alias("_salt"))
-    return salted.join(repeated, ["gram", "_salt"], "left_semi").select(key, F.col("gram").alias("value"))
+    # Few values are sent to the texts; with many, adaptive execution splits n-grams that are in very many texts.
+    return grams.join(sought.select("gram"), "gram", "left_semi").select(key, F.col("gram").alias("value"))

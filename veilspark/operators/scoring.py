@@ -18,7 +18,7 @@ def attach_scores(
     scorer: Column | DataFrame | None = None,
     reasons: Column | None = None,
     key: str = "masked_id",
-    hot_keys: int = 0,
+    split_hot: bool = True,
 ) -> DataFrame:
     """Add ``fraud_probability`` and ``reason_codes``.
 
@@ -28,7 +28,7 @@ def attach_scores(
     codes = F.array(*map(F.lit, CONSTANT_REASONS)) if reasons is None else reasons
     if isinstance(scorer, DataFrame):
         columns = [c for c in (key, "fraud_probability", "reason_codes") if c in scorer.columns]
-        joined = lookup_join(df, scorer.select(*columns), key, "left", hot_keys)
+        joined = lookup_join(df, scorer.select(*columns), key, "left", split_hot)
         return joined if "reason_codes" in columns else joined.withColumn("reason_codes", codes)
     score = F.lit(CONSTANT_SCORE) if scorer is None else scorer
     return df.withColumn("fraud_probability", score.cast("double")).withColumn("reason_codes", codes)
@@ -45,7 +45,7 @@ def cloud_predictions(features: DataFrame, scorer: Column | None = None) -> Data
     return schemas.with_schema_classes(scored, schemas.PREDICTION)
 
 
-def with_profile(transactions: DataFrame, customers: DataFrame, hot_keys: int = 64) -> DataFrame:
+def with_profile(transactions: DataFrame, customers: DataFrame, split_hot: bool = True) -> DataFrame:
     """Left join the customer profile as struct ``customer``, null where there is none.
 
     One customer may own a large share of all transactions: its rows are spread (see
@@ -53,7 +53,7 @@ def with_profile(transactions: DataFrame, customers: DataFrame, hot_keys: int =
     """
     names = schemas.CUSTOMER.fieldNames()
     profiles = customers.select("customer_id", F.struct(*names).alias("customer"))
-    return lookup_join(transactions, profiles, "customer_id", "left", hot_keys)
+    return lookup_join(transactions, profiles, "customer_id", "left", split_hot)
 
 
 def contact(df: DataFrame) -> dict[str, Column]:

@@ -39,8 +39,8 @@ def transaction_rules() -> dict[str, Column]:
     return rules | {
         "mcc_range": F.col("mcc").between(0, 9999),
         "currency_length": F.length("currency") == 3,
-        "amount_not_negative": F.col("amount") >= 0,
-        "credit_limit_not_negative": F.col("credit_limit") >= 0,
+        "amount_not_negative": (F.col("amount") >= 0) & ~F.isnan("amount"),
+        "credit_limit_not_negative": (F.col("credit_limit") >= 0) & ~F.isnan("credit_limit"),
         "timestamp_parseable": is_iso_timestamp(F.col("transaction_ts")),
         "channel_known": F.col("channel").isin(list(CHANNEL_MAP)),
     }

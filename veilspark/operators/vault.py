@@ -1,11 +1,13 @@
 """Identity vault: masked id to original and masked record, with a time to live.
 
-The vault is a Parquet table partitioned by ingest date and run. A run replaces only its own
-partition, so a repeated run leaves no duplicates, and expiry drops whole partitions.
+The vault is a Parquet table partitioned by run and ingest date. A run replaces all that it wrote before, on
+whatever date, so a repeated run leaves no duplicates, and expiry drops whole partitions.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilspark.config import EngineConfig
@@ -43,15 +45,17 @@ def vault_rows(
 
 
 def write_vault(rows: DataFrame, path: str, run_id: str) -> None:
-    """Write one run's rows. Sorting within tasks lets id lookups skip row groups."""
+    """Write one run's rows in place of those it wrote before. Files are in the order of ids, so that lookups skip
+    row groups."""
+    if not re.fullmatch(r"[A-Za-z_][\w.-]*", run_id):
+        raise ValueError("a run id is a name of letters, digits, '_', '-' and '.'")
     (
         rows.withColumn("ingest_date", F.to_date(STORED_AT))
-        .withColumn("run_id", F.lit(run_id))
-        .sortWithinPartitions(MASKED_ID)
+        .sortWithinPartitions("ingest_date", MASKED_ID)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ingest_date", "run_id")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("ingest_date")
+        .parquet(f"{path.rstrip('/')}/run_id={run_id}")
     )
 
 
@@ -98,15 +102,15 @@ def masked_of(vault: DataFrame, masked_id: str) -> DataFrame:
     return vault.where(F.col(MASKED_ID) == masked_id).select("masked.*")
 
 
-def restore_identity(predictions: DataFrame, vault: DataFrame, hot_keys: int = 0) -> DataFrame:
+def restore_identity(predictions: DataFrame, vault: DataFrame, split_hot: bool = True) -> DataFrame:
     """Link scores to the stored identities. Unknown or expired ids drop out; see :func:`unmatched`.
 
-    Only the needed fields of ``original`` are read. An id occurs once in the vault; ``hot_keys``
+    Only the needed fields of ``original`` are read. An id occurs once in the vault; ``split_hot``
     spreads ids that many predictions name (see ``lookup_join``).
     """
     wanted = ("customer_id", "full_name", "phone", "email", "card_pan", "transaction_id", "amount")
     identities = vault.select(MASKED_ID, *[F.col(f"original.{c}").alias(c) for c in wanted])
-    joined = lookup_join(predictions, identities, MASKED_ID, "inner", hot_keys)
+    joined = lookup_join(predictions, identities, MASKED_ID, "inner", split_hot)
     return joined.select(
         MASKED_ID,
         "fraud_probability",
@@ -127,11 +131,17 @@ def unmatched(predictions: DataFrame, vault: DataFrame) -> DataFrame:
     return predictions.join(vault.select(MASKED_ID), MASKED_ID, "left_anti")
 
 
-def expired_dates(spark: SparkSession, path: str, as_of: str, ttl_hours: int) -> list[str]:
-    """Ingest dates that hold only expired rows, for the storage layer to remove.
+def tracking_id_collisions(vault: DataFrame) -> DataFrame:
+    """Ids that several records share, with how many: none as long as ids are unique."""
+    counts = vault.groupBy(MASKED_ID).agg(F.countDistinct("original.transaction_id").alias("records"))
+    return counts.where("records > 1")
+
+
+def expired_dates(spark: SparkSession, path: str, as_of: str, ttl_hours: int) -> DataFrame:
+    """Runs and ingest dates that hold only expired rows, for the storage layer to remove.
 
     The date is a partition value, so no data column is read.
     """
     oldest = F.lit(as_of).cast("timestamp") - F.make_interval(hours=F.lit(ttl_hours))
-    dates = spark.read.parquet(path).select("ingest_date").distinct()
-    return [str(r.ingest_date) for r in dates.where(F.col("ingest_date") < F.to_date(oldest)).collect()]
+    dates = spark.read.parquet(path).select("run_id", "ingest_date").distinct()
+    return dates.where(F.col("ingest_date") < F.to_date(oldest))

@@ -233,6 +233,46 @@ def redact_nested_for_log(spark, sf_dir):
     )
 
 
+def _contained(spark, sf_dir):
+    """Personal data in records inside maps and nested lists whose own class is INTERNAL."""
+    phone = F.when(F.col("channel") == "ECOM", F.col("phone"))
+    return fx.transactions(spark, sf_dir).select(
+        "transaction_id",
+        F.create_map(F.col("channel"), F.struct(phone.alias("phone"), "merchant_id")).alias("by_channel"),
+        F.array(F.array(F.struct("email", "merchant_id"))).alias("nested"),
+    )
+
+
+_CONTAINED_CLASSES = {"by_channel.phone": "PII", "nested.email": "PII"}
+
+
+@query(
+    with_inputs(
+        "SELECT transaction_id, 'by_channel.ECOM.phone' AS path FROM transactions WHERE channel = 'ECOM' "
+        "UNION ALL SELECT transaction_id, 'nested[0][0].email' FROM transactions"
+    )
+)
+def egress_map_violations(spark, sf_dir):
+    rows = egress.report(_contained(spark, sf_dir), "cloud", classes=_CONTAINED_CLASSES)
+    return one_row_each(rows, "violations", ("transaction_id",), "v").select("transaction_id", F.col("v.path").alias("path"))
+
+
+@query(
+    with_inputs(
+        "SELECT transaction_id, merchant_id AS open_merchant, CASE WHEN channel = 'ECOM' THEN "
+        f"{_redacted('phone').removesuffix(' AS phone')} END AS hidden_phone, "
+        f"{_redacted('email').replace(' AS email', ' AS hidden_email')} FROM transactions"
+    )
+)
+def redact_maps_and_lists_for_log(spark, sf_dir):
+    hidden = egress.redact_for_log(_contained(spark, sf_dir), fx.config().log_hash_salt, _CONTAINED_CLASSES)
+    value = F.map_values("by_channel")[0]
+    return hidden.select(
+        "transaction_id", value["merchant_id"].alias("open_merchant"), value["phone"].alias("hidden_phone"),
+        F.col("nested")[0][0]["email"].alias("hidden_email"),
+    )
+
+
 @query(
     with_inputs("SELECT transaction_id, amount * 1.37::DOUBLE AS amount FROM transactions WHERE email = 'user.000007@example.com'")
 )

@@ -131,10 +131,11 @@ def validate_rules(spark, sf_dir):
     "LEFT JOIN (SELECT DISTINCT transaction_id FROM broken) b USING (transaction_id)"
 )
 def sink_quarantine(spark, sf_dir):
-    path = shared_folder(spark, "quarantine")
+    roots = {name: shared_folder(spark, name) for name in ("valid", "rejected")}
     checked = validation.validate(_dirty(spark, sf_dir), validation.transaction_rules())
-    sinks.write_split(checked, path)
-    return spark.read.parquet(path).select("transaction_id", "outcome")
+    sinks.write_split(checked, roots["valid"], roots["rejected"])
+    sides = [spark.read.parquet(p).select("transaction_id", F.lit(n).alias("outcome")) for n, p in roots.items()]
+    return sides[0].unionAll(sides[1])
 
 
 @query(
@@ -204,7 +205,7 @@ def decrypt_rejects_forgery(spark, sf_dir):
     token = F.col("email")
     # the 30th character, inside the first cipher block, is swapped for another one
     swapped = F.when(F.substring(token, 30, 1) == "A", "B").otherwise("A")
-    altered = F.concat(F.substring(token, 1, 29), swapped, F.substring(token, 31, 10_000))
+    altered = F.concat(F.substring(token, 1, 29), swapped, F.substr(token, F.lit(31), F.length(token)))
 
     def opens(value, field="email", version="v1", keys="_k"):
         plain = crypto.decrypt(value, F.lit(field), F.lit(version), F.col(keys), config.domain)
@@ -510,7 +511,7 @@ RECOMMENDATION_SQL = (
     )
 )
 def restore_identity(spark, sf_dir):
-    return vault.restore_identity(predictions(spark, sf_dir), _live_vault(spark, sf_dir), hot_keys=64)
+    return vault.restore_identity(predictions(spark, sf_dir), _live_vault(spark, sf_dir))
 
 
 @query(
@@ -607,3 +608,27 @@ def decision_record(spark, sf_dir):
         s["reason_codes"][0].alias("first_reason"),
         s["scoring_timestamp"].alias("scoring_timestamp"),
     )
+
+
+@query(with_inputs("SELECT count(*) AS n, count(*) AS ids FROM transactions"))
+def vault_replay_next_day(spark, sf_dir):
+    """A run repeated after midnight replaces its rows of the day before."""
+    path, config = shared_folder(spark, "vault"), fx.config()
+    rows, ring = fx.transactions(spark, sf_dir), fx.keyring(spark)
+    for day in ("2026-01-20 23:59:00", "2026-01-21 00:01:00"):
+        tracked = vault.mask_and_track(rows, path, "run1", ring, config, F.lit(day))
+    return tracked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("masked_id").alias("ids"))
+
+
+@query(
+    with_inputs(
+        "SELECT transaction_id AS masked_id, count(DISTINCT customer_id) AS records FROM "
+        "(SELECT left(transaction_id, 15) AS transaction_id, transaction_id AS customer_id FROM transactions) "
+        "GROUP BY 1 HAVING count(DISTINCT customer_id) > 1"
+    )
+)
+def tracking_id_collisions(spark, sf_dir):
+    """Ids cut to fifteen characters, which collide."""
+    rows = fx.transactions(spark, sf_dir)
+    cut = rows.select(F.left("transaction_id", F.lit(15)).alias("masked_id"), F.struct("transaction_id").alias("original"))
+    return vault.tracking_id_collisions(cut)

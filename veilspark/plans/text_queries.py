@@ -455,8 +455,8 @@ _PERCENT = "printf('%.0f%%', (t.mcc % 101 / 100.0) * 100)"
 
 @query(
     with_inputs(
-        f"SELECT t.transaction_id, CASE WHEN c.email IS NOT NULL AND c.phone IS NULL THEN NULL ELSE "
-        f"{_SCAN_SQL.format(**_CONTACT)} END AS scan_text {_JOINED}",
+        f"SELECT t.transaction_id, {_SCAN_SQL.format(**{n: f"coalesce({v}, '')" for n, v in _CONTACT.items()})} "
+        f"AS scan_text {_JOINED}",
         profiles=True,
     )
 )

@@ -63,11 +63,19 @@ def parse_json(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast columns of a table or stream to ``schema``, attach data classes and list misfits."""
+    """Cast columns of a table or stream to ``schema``, attach data classes and list misfits.
+
+    A number is no text, and a number with a fraction is no whole number.
+    """
     errors, columns = [], []
     for f in schema.fields:
         value = F.col(f.name) if f.name in df.columns else F.lit(None)
+        source = df.schema[f.name].dataType if f.name in df.columns else T.NullType()
         converted = value.try_cast(f.dataType)
+        if isinstance(f.dataType, T.StringType) and isinstance(source, (T.NumericType, T.BooleanType)):
+            converted = F.lit(None).cast(f.dataType)
+        if isinstance(f.dataType, T.IntegralType) and isinstance(source, (T.FractionalType, T.DecimalType)):
+            converted = F.when(value == F.floor(value), converted)
         columns.append(converted.alias(f.name, metadata=f.metadata))
         errors.append(F.when(value.isNotNull() & converted.isNull(), f.name))
     return df.select(*columns, F.array_compact(F.array(*errors)).alias(TYPE_ERRORS))

@@ -13,19 +13,22 @@ def write_guarded(df: DataFrame, path: str, destination: str, mode: str = "appen
     egress.guard(df, destination, "fail").write.mode(mode).parquet(path)
 
 
-def write_split(validated: DataFrame, path: str, mode: str = "append") -> None:
-    """Write valid and rejected rows in one pass, as ``outcome=valid`` and ``outcome=rejected``.
+def write_split(validated: DataFrame, path: str, quarantine: str, mode: str = "append") -> None:
+    """Write valid rows to ``path`` and rejected ones, with their violations, to ``quarantine``.
 
-    Works on the output of ``validation.validate`` and of ``egress.report``.
+    Works on the output of ``validation.validate`` and of ``egress.report``. The rows are kept between the two
+    writes, so that the checks run once. Neither root may lie in the other: rejected rows may be plain.
     """
-    (
-        validated.withColumn(
-            "outcome", F.when(F.size(validation.VIOLATIONS) > 0, "rejected").otherwise("valid")
-        )
-        .write.mode(mode)
-        .partitionBy("outcome")
-        .parquet(path)
-    )
+    one, other = (f"{p.rstrip('/')}/" for p in (path, quarantine))
+    if one.startswith(other) or other.startswith(one):
+        raise ValueError("released and rejected rows need separate roots")
+    bad = F.size(validation.VIOLATIONS) > 0
+    kept = validated.persist()
+    try:
+        kept.where(~bad).drop(validation.VIOLATIONS).write.mode(mode).parquet(path)
+        kept.where(bad).write.mode(mode).parquet(quarantine)
+    finally:
+        kept.unpersist()
 
 
 def masked_output(df: DataFrame, customers: bool = False) -> DataFrame:

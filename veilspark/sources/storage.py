@@ -22,5 +22,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         app = spark.sparkContext.applicationId
-        root = _LOCAL_FOLDERS.setdefault(app, tempfile.mkdtemp(prefix="veilspark-"))
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="veilspark-")
+        root = _LOCAL_FOLDERS[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

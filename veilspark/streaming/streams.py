@@ -12,6 +12,7 @@ from veilspark.functions import columns as C
 from veilspark.functions.recognizers import DEFAULT_REGISTRY, Recognizer
 from veilspark.keyring import KeyRing
 from veilspark.operators import egress, masking, text
+from veilspark.sources import sinks
 
 
 def mask_stream(stream: DataFrame, policy: MaskPolicy, keyring: KeyRing, config: EngineConfig) -> DataFrame:
@@ -71,25 +72,18 @@ def restore_stream(
 
 
 def guarded_writer(
-    stream: DataFrame, destination: str, path: str, checkpoint: str, **options
+    stream: DataFrame, destination: str, path: str, quarantine: str, checkpoint: str, **options
 ) -> DataStreamWriter:
-    """Write passing rows to ``path/passed`` and others, with their violations, to ``path/quarantine``.
+    """Write passing rows to ``path`` and others, with their violations, to ``quarantine``, a separate root.
 
-    Each batch replaces only its own ``batch_id`` partition, so a replayed batch leaves no
-    duplicates. The violations are worked out once per batch: both outputs are partitions of one write.
+    Each batch replaces its own ``batch_id`` folder on both sides, empty or not, so a replayed batch leaves no
+    duplicates and no row on the side it no longer belongs to.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = egress.report(batch, destination, **options)
-        outcome = F.when(F.size(egress.VIOLATIONS) > 0, "quarantine").otherwise("passed")
-        (
-            checked.withColumn("outcome", outcome)
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("outcome", "batch_id")
-            .parquet(path)
-        )
+        folders = (f"{root.rstrip('/')}/batch_id={batch_id}" for root in (path, quarantine))
+        sinks.write_split(checked, *folders, mode="overwrite")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
