@@ -53,8 +53,8 @@ def _ids_column(text: pa.Array) -> pa.Array:
 
 
 def _padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with room for the widest filter after each text, and where each text starts."""
-    room = max(WIDTHS) - 1
+    """Words with room for the widest filter after each text, and where each text starts (and the last one ends)."""
+    room = max(WIDTHS)
     starts = np.concatenate([[0], np.cumsum(counts + room)])
     out = np.full((starts[-1], len(_PARTS)), _PAD, np.int32)
     out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)) * room, counts)] = ids
@@ -98,7 +98,11 @@ class ToxicityModel:
         if not len(counts):
             return np.zeros(0)
         words, starts = _padded(ids, counts)
-        pooled = [np.maximum(np.maximum.reduceat(r, starts[:-1]), 0) for r in self.responses(self.vectors(words))]
+        pooled = []
+        for width, response in zip(WIDTHS, self.responses(self.vectors(words))):
+            # from each text's start to where the filter would reach into the next
+            bounds = np.stack([starts[:-1], starts[1:] - width + 1], 1).reshape(-1)[:-1]
+            pooled.append(np.maximum(np.maximum.reduceat(response, bounds)[::2], 0))
         return 1 / (1 + np.exp(-(np.concatenate(pooled, 1) @ self.output + self.offset).astype(np.float64)))
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int, batch: int = 32, rate: float = 0.1) -> None:
@@ -123,8 +127,7 @@ class ToxicityModel:
         vectors = self.vectors(words)
         pooled, places = [], []
         for response, width in zip(self.responses(vectors), WIDTHS):
-            ends = np.minimum(starts[1:], len(response))
-            place = np.stack([s + response[s:e].argmax(0) for s, e in zip(starts[:-1], ends)])
+            place = np.stack([s + response[s:e].argmax(0) for s, e in zip(starts[:-1], starts[1:] - width + 1)])
             pooled.append(np.take_along_axis(response, place, 0))
             places.append(place)
         top = np.maximum(np.concatenate(pooled, 1), 0)
