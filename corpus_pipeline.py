@@ -13,10 +13,11 @@ from veilspark.llm.decontamination import decontaminated
 from veilspark.llm.exact_duplicates import drop_exact_duplicates
 from veilspark.llm.near_duplicates import drop_near_duplicates
 from veilspark.llm.quality import good_documents
-from veilspark.llm.tables import written
+from veilspark.llm.tables import small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,15 +26,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text; `intact` says whether they decode to its bytes."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = encode_and_decode(docs, path, public_tokenizers.PATTERN)
     intact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -24,7 +24,7 @@ from veilspark.llm.pieces import Memo, splitter
 from veilspark.llm.tables import fresh, whole
 
 #: Pieces and token pairs remembered by a worker, once or twice as many.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -162,6 +162,16 @@ def _decoding(path: str) -> Callable[[pa.Array], pa.Array]:
     return decode
 
 
+def _both(path: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
+    encode, decode = _encoding(path, pattern), _decoding(path)
+
+    def both(text: pa.Array) -> pa.Array:
+        ids = encode(text)
+        return pa.StructArray.from_arrays([ids, decode(ids)], ["ids", "data"])
+
+    return both
+
+
 def encoded(text: str | Column, path: str, pattern: str) -> Column:
     """A text's ids as array<int>, without special tokens; null and empty texts have none.
 
@@ -183,7 +193,9 @@ def encode_and_decode(
 
     Each row is encoded by itself, so repeated rows, ties and empty tables need no rule.
     """
-    inner = fresh("ids", df)
-    out = df.withColumn(inner, encoded(f"`{text_col}`", path, pattern))
+    # in one worker: two functions in a row would hold two
+    inner = fresh("coded", df)
+    both = F.arrow_udf(_both(path, pattern), "struct<ids:array<int>,data:binary>")
+    out = df.withColumn(inner, both(whole(f"`{text_col}`")))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (ids, data)]
-    return out.select(*kept, F.col(inner).alias(ids), decoded(F.col(inner), path).alias(data))
+    return out.select(*kept, F.col(inner)["ids"].alias(ids), F.col(inner)["data"].alias(data))

@@ -20,6 +20,7 @@ from veilspark.llm import (
     token_counts,
     toxicity,
 )
+from veilspark.llm.tables import small_batches
 
 TOKEN_LIMIT = 512
 TOXIC_SCORE = 0.3
@@ -28,6 +29,7 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 2, 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

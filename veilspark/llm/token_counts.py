@@ -23,7 +23,7 @@ from veilspark.llm.pieces import Memo, splitter
 from veilspark.llm.tables import whole, with_results
 
 #: Counts of pieces remembered by a worker, once or twice as many.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 #: Fixed value: the pre-tokenizer pattern that files of this kind leave unsaid.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
