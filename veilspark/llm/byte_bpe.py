@@ -23,8 +23,8 @@ from veilspark.llm import text_bytes as tb
 from veilspark.llm.pieces import Memo, splitter
 from veilspark.llm.tables import fresh, whole
 
-#: Pieces and token pairs remembered by a worker, once or twice as many.
-REMEMBERED = 60_000
+#: Pieces and token pairs remembered by a worker, once or twice as many. A pair takes little room.
+REMEMBERED, PAIRS = 60_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +48,7 @@ class Encoder:
                 self._automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self._automaton.make_automaton()
         self._shorter: dict[int, int | None] = {}
-        self._compatible = Memo(self._merge_apart, {}, REMEMBERED)
+        self._compatible = Memo(self._merge_apart, {}, PAIRS)
         self.memo = Memo(self._encode_piece, {}, REMEMBERED)
 
     def _merge(self, data: bytes) -> list[bytes]:
@@ -66,8 +66,23 @@ class Encoder:
         return parts
 
     def _merge_apart(self, pair: int) -> bool:
-        one, other = self._tokens[pair >> 32], self._tokens[pair & 0xFFFFFFFF]
-        return self._merge(one + other) == [one, other]
+        """Whether merging the joined bytes of two tokens, of which each merges to itself, never joins across their border."""
+        one = self._tokens[pair >> 32]
+        data, left = one + self._tokens[pair & 0xFFFFFFFF], len(one)
+        parts, rank_of, none = [data[i : i + 1] for i in range(len(data))], self._ranks.get, len(self._ranks)
+        ranks = [rank_of(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while (best := min(ranks)) < none:
+            at = ranks.index(best)
+            if at == left - 1:
+                return False
+            left -= at < left
+            parts[at] = joined = parts[at] + parts[at + 1]
+            del parts[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(parts[at - 1] + joined, none)
+            if at < len(ranks):
+                ranks[at] = rank_of(joined + parts[at + 1], none)
+        return True
 
     def _shorten(self, rank: int) -> int | None:
         """The longest token that is a proper beginning of a token."""
@@ -86,19 +101,19 @@ class Encoder:
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         text, compatible = data.decode("latin-1"), self._compatible
         out: list[int] = []
-        for _, (rank, _) in self._automaton.iter_long(text):
+        for end, (rank, size) in self._automaton.iter_long(text):
             if out and not compatible[out[-1] << 32 | rank]:
-                return self._backtrack(text)
+                return self._backtrack(text, out, end - size + 1, rank)
             out.append(rank)
         return tuple(out)
 
-    def _backtrack(self, text: str) -> tuple[int, ...]:
-        longest = [0] * len(text)
-        for end, (rank, size) in self._automaton.iter(text):
-            longest[end - size + 1] = rank  # ends ascend, so the last one is the longest
+    def _longest(self, text: str, at: int) -> int:
+        """The longest token that begins at a byte; every byte is a token, so the first match begins there."""
+        return next(self._automaton.iter_long(text, at))[1][0]
+
+    def _backtrack(self, text: str, out: list[int], at: int, rank: int | None) -> tuple[int, ...]:
+        """Goes on after the tokens `out`, which end at byte `at`, where `rank` is the longest match."""
         tokens, compatible, failed = self._tokens, self._compatible, set()
-        out: list[int] = []
-        at, rank = 0, longest[0]
         while at < len(text):
             while rank is not None:
                 end = at + len(tokens[rank])
@@ -112,7 +127,7 @@ class Encoder:
             else:
                 out.append(rank)
                 at = end
-                rank = longest[at] if at < len(text) else None
+                rank = self._longest(text, at) if at < len(text) else None
         return tuple(out)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
