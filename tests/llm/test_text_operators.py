@@ -170,3 +170,24 @@ def test_redaction_of_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [(1, 3), (2, 5), (7, 8)]), ("é", []), (None, [])], "t string, s array<struct<start:long,end:long>>")
     shown = [r.r for r in df.select(personal_data.redacted("t", F.col("s"), "#").alias("r")).collect()]
     assert shown == ["0#56#89", "é", ""]
+
+
+def calls(count, plain, rng):
+    """Texts with a telephone number and an item number; each of `plain` has its number without plus sign."""
+    out = []
+    for i in range(count):
+        a, b, c = rng.randint(200, 999), rng.randint(100, 999), rng.randint(1000, 9999)
+        number = f"{a}-{b}-{c}" if i in plain else f"+1 ({a}) {b}-{c}"
+        out.append((i, f"please call {number} soon, item {rng.randint(10, 99)}-{rng.randint(10**5, 10**6)}-{i}"))
+    return out
+
+
+@pytest.mark.parametrize("every", [20, 3])
+def test_numbers_without_plus_sign_are_no_negatives(spark, every):
+    plain = set(range(0, 900, every))
+    df = spark.createDataFrame(calls(900, plain, random.Random(every)), "doc_id long, text string")
+    model = personal_data.train(df)
+    assert model.thresholds["phone"] <= 1
+    for row in personal_data.personal_data(df, model).collect():
+        assert (row.n_phone == 0) == (row.doc_id in plain)
+        assert row.spans == ("phone:12:24" if row.doc_id in plain else "phone:12:29")
