@@ -191,3 +191,13 @@ def test_numbers_without_plus_sign_are_no_negatives(spark, every):
     for row in personal_data.personal_data(df, model).collect():
         assert (row.n_phone == 0) == (row.doc_id in plain)
         assert row.spans == ("phone:12:24" if row.doc_id in plain else "phone:12:29")
+
+
+def test_thresholds_count_all_rows(spark):
+    """A kind in one text of 300 has all its candidates counted: two forms alone, and three in the pair."""
+    rows = calls(200, set(), random.Random(6))
+    rare = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.range(1000, 61_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("nothing here "), "id").alias("text")).union(rare)
+    counted = personal_data.labelled(df).where("kind = 3 and label = 1").agg(F.sum("n")).first()[0]
+    assert counted == 5 * 200
+    assert personal_data.train(df).thresholds["phone"] <= 1
