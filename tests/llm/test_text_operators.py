@@ -201,3 +201,15 @@ def test_thresholds_count_all_rows(spark):
     counted = personal_data.labelled(df).where("kind = 3 and label = 1").agg(F.sum("n")).first()[0]
     assert counted == 5 * 200
     assert personal_data.train(df).thresholds["phone"] <= 1
+
+
+def test_numbers_side_by_side(spark):
+    rows = calls(900, set(), random.Random(7))
+    added = {
+        2000: ("(743) 555-3824 (212) 555-0199", "phone:0:14,phone:15:29"),
+        2001: ("2026-01-20 743-555-3824", "phone:11:23"),
+        2002: ("x" * 70 + ".y@example.org", "email:0:84"),
+    }
+    df = spark.createDataFrame(rows + [(i, t) for i, (t, _) in added.items()], "doc_id long, text string")
+    found = personal_data.personal_data(df, personal_data.train(df)).where("doc_id >= 2000").collect()
+    assert {r.doc_id: r.spans for r in found} == {i: s for i, (_, s) in added.items()}
