@@ -322,3 +322,15 @@ def test_fallback_when_a_token_does_not_open(spark, ring, config):
 def test_values_with_reserved_characters_are_refused(spark, ring, config):
     with pytest.raises(Exception, match="reserved"):
         masked_text(spark, ring, config, "Mona paid", [("name", "Mona"), ("other", "")]).collect()
+
+
+def test_dictionary_words_end_at_word_boundaries(spark):
+    names = spark.createDataFrame([("John Smith", "PERSON"), ("Doha", "LOCATION"), ("St. Louis", "LOCATION")], "phrase string, entity_type string")
+    found = {
+        "John Smith's account": ["John Smith"], "a Doha-based firm": ["Doha"], "ask John. Smith left": [], "from Doha. Then": ["Doha"],
+        "in St. Louis, or St Louis": ["St. Louis", "St Louis"], "Dohas": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(found)), "id int, text string")
+    hits = text.dictionary_entities(docs, "id", "text", names).orderBy("id", "start").collect()
+    for i, (value, want) in enumerate(found.items()):
+        assert [value[h.start : h.end] for h in hits if h.id == i] == want

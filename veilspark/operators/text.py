@@ -135,7 +135,8 @@ def with_scan(df: DataFrame, name: str, text_col: str, label: str, **options) ->
     return scanned.withColumn(name, F.col(name).withField("entity_count", F.size(f"{name}.entities")))
 
 
-WORD_PATTERN = r"(?U)[\w#'’-]+"
+#: A word, with the sentence end behind it if there is one.
+WORD_PATTERN = r"(?U)\w+(?:[.!?…]+['\"’”)\]]*(?=\s))?"
 
 
 def dictionary_entities(
@@ -146,23 +147,35 @@ def dictionary_entities(
     Words of each text are joined up to n-grams, for each phrase length that occurs in the table,
     and matched by one equi-join on the lower-cased phrase. Phrases are distinct in the table, so the
     join adds no rows per n-gram; a small table is broadcast by its size, a large one is shuffled.
-    Words count as adjacent whatever stands between them. Hits carry no preview: the text is not
+    Words end at Unicode word boundaries, in phrases and texts. They count as adjacent whatever stands between them,
+    except for a sentence end that the phrase does not have there. Hits carry no preview: the text is not
     copied along with every n-gram.
     """
-    words = F.regexp_extract_all(F.lower("phrase"), F.lit(WORD_PATTERN), F.lit(0))
+    def bare(word: Column) -> Column:
+        return F.regexp_replace(word, r"(?U)\W+$", "")
+
+    def joined(values: Column) -> Column:
+        """Words with a full stop for each sentence end between them."""
+        marked = F.transform(values, lambda v: F.when(bare(v) == v, v).otherwise(F.concat(bare(v), F.lit("."))))
+        inner = F.slice(marked, 1, F.greatest(F.size(values) - 1, F.lit(0)))
+        return F.lower(F.array_join(F.concat(inner, F.array(bare(F.element_at(values, -1)))), " "))
+
+    words = F.regexp_extract_all("phrase", F.lit(WORD_PATTERN), F.lit(0))
     phrases = (
-        dictionary.select(F.array_join(words, " ").alias("phrase"), "entity_type", F.size(words).alias("n"))
+        dictionary.select(words.alias("w"), "entity_type", F.size(words).alias("n"))
         .where(F.col("n") > 0)
+        .select(F.explode(F.array(joined(F.col("w")), joined(F.transform("w", bare)))).alias("phrase"), "entity_type", "n")
         .distinct()
     )
     lengths = phrases.agg(F.array_sort(F.collect_set("n")).alias("n")).scalar()
 
     def gram(i: Column) -> Column:
         parts = F.slice("_w", i, F.col("n"))
+        last = F.element_at(parts, -1)
         return F.struct(
             parts[0]["start"].alias("start"),
-            F.element_at(parts, -1)["end"].alias("end"),
-            F.lower(F.array_join(F.transform(parts, lambda w: w["value"]), " ")).alias("phrase"),
+            (last["end"] - F.length(last["value"]) + F.length(bare(last["value"]))).alias("end"),
+            joined(F.transform(parts, lambda w: w["value"])).alias("phrase"),
         )
 
     grams = (
