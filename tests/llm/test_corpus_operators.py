@@ -263,3 +263,11 @@ def test_pipeline_against_brute_force(spark):
 def _kept(rows):
     found = near(rows, 5)
     return [(i, t) for i, t in rows if (i, len(shingles(t, 5)), i) in found]
+
+
+def test_exact_duplicates_of_any_column_names(spark):
+    df = spark.createDataFrame([(1, "a  b", "x", 7, "h"), (2, "a b", "y", 8, "i"), (3, "c", None, 9, "j")],
+                               "doc_id long, text string, kept string, group_size int, text_sha256 string")
+    got = exact_duplicates.drop_exact_duplicates(df, any_names=True)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a  b", "x", 7, "h"), (3, "c", None, 9, "j")]

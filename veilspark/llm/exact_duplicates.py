@@ -93,11 +93,15 @@ def exact_duplicates(
     )
 
 
-def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", any_names: bool = False) -> DataFrame:
     """The input with the smallest identifier of each group of equal texts; the rest as `exact_duplicates`.
 
-    Input columns named like a result are not supported here and raise, since they must be returned.
+    Input columns named like a result raise, unless `any_names` lets them through unchanged.
     """
+    if any_names:
+        named = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+        marked = drop_exact_duplicates(named, f"c{df.columns.index(id_col)}", f"c{df.columns.index(text_col)}")
+        return marked.toDF(*df.columns)
     if clash := set(df.columns) & set(RESULTS):
         raise ValueError(f"columns named like results: {sorted(clash)}")
     marked = exact_duplicates(df, id_col, text_col, df.columns)
