@@ -17,14 +17,18 @@ from veilspark.llm import (
     quality,
     repeated_passages,
     sharding,
+    source_divergence,
     token_counts,
+    token_files,
     toxicity,
 )
 from veilspark.llm.tables import small_batches
+from veilspark.sources.storage import shared_folder
 
 TOKEN_LIMIT = 512
 TOXIC_SCORE = 0.3
 SHARD_BYTES = 16 << 20
+END_ID = 2
 SHINGLE_WORDS, SHINGLE_PERCENT = 2, 80
 
 
@@ -108,6 +112,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(documents, model).select("doc_id", *personal_data.RESULTS)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, path = _documents(spark, sf_dir), shared_folder(spark, "token-files")
+    token_files.write_tokens(documents, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    read = token_files.read_tokens(spark, path, documents.schema["doc_id"].dataType)
+    return read.select("doc_id", "start", "n_tokens", token_files.ids_crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,7 +131,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = [
     op1_token_counts, op2_near_duplicates, op3_byte_bpe, op4_toxicity, op5_quality, op6_shards, op7_repeated_passages,
-    op8_contamination, op9_exact_duplicates, op10_personal_data, pipeline,
+    op8_contamination, op9_exact_duplicates, op10_personal_data, op11_source_divergence, op13_token_files, pipeline,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
@@ -201,9 +216,41 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM t
 """
 
+_DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_lowered("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), words AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= {source_divergence.LEAST_DOCUMENTS}),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang)
+  LEFT JOIN counts USING (lang, source, term)
+), whole AS (SELECT lang, term, sum(c)::BIGINT AS c FROM cells GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER s + 5 * count(*) OVER s) AS p
+  FROM cells WINDOW s AS (PARTITION BY lang, source)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER s + 5 * count(*) OVER s) AS q
+  FROM whole WINDOW s AS (PARTITION BY lang)
+), sides AS (SELECT a.lang, a.source, b.source AS item FROM (SELECT DISTINCT lang, source FROM d) a
+  JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM sides LEFT JOIN sums USING (lang, source, item)
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM rows
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": _NEAR,
     "op6_shards": _SHARDS,
     "op8_contamination": _CONTAMINATION,
     "op9_exact_duplicates": _EXACT,
+    "op11_source_divergence": _DIVERGENCE,
 }
