@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilspark.llm import (
     byte_bpe,
+    collocations,
     decontamination,
     exact_duplicates,
     near_duplicates,
@@ -116,6 +117,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, path = _documents(spark, sf_dir), shared_folder(spark, "token-files")
     token_files.write_tokens(documents, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
@@ -131,7 +136,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = [
     op1_token_counts, op2_near_duplicates, op3_byte_bpe, op4_toxicity, op5_quality, op6_shards, op7_repeated_passages,
-    op8_contamination, op9_exact_duplicates, op10_personal_data, op11_source_divergence, op13_token_files, pipeline,
+    op8_contamination, op9_exact_duplicates, op10_personal_data, op11_source_divergence,
+    op12_collocations, op13_token_files, pipeline,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
@@ -247,10 +253,41 @@ rows AS (
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= {source_divergence.TOP_TERMS}
 """
 
+_COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lowered("text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) AS sizes(k)
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {collocations.LEAST}),
+places AS MATERIALIZED (
+  SELECT lang, k, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS head, array_to_string(list_slice(w, cut + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, cut, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM places c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, array_to_string(list_slice(w, 1, 2), ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(list_slice(w, 2, 3), ' '), a FROM candidates WHERE k = 3) GROUP BY ALL
+), left_over AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON b.k = 2 AND i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < {collocations.PERCENT} * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over
+)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1) USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": _NEAR,
     "op6_shards": _SHARDS,
     "op8_contamination": _CONTAMINATION,
     "op9_exact_duplicates": _EXACT,
     "op11_source_divergence": _DIVERGENCE,
+    "op12_collocations": _COLLOCATIONS,
 }
