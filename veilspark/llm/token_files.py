@@ -121,8 +121,8 @@ class TextEncoder:
             if not key or key[0].isspace() or key[-1].isspace():
                 return _SPACED
         if (text if key[:1] == " " else key).isalpha():
-            return self._piece_place(text)
-        places = [self._piece_place(piece) for piece in self._split(text)]
+            return self._added_piece(key, text)
+        places = [self._places[p[1:]] if p[0] == " " and p[1:].isalpha() else self._piece_place(p) for p in self._split(text)]
         if len(places) == 1 or _UNKNOWN in places:
             return min(places)
         return self._add(key, [i for p in places for i in self._ids[self._ends[p] : self._ends[p + 1]]])
@@ -130,15 +130,18 @@ class TextEncoder:
     def _piece_place(self, piece: str) -> int:
         place = self._pieces.get(piece)
         if place is None:
-            if piece.isascii() and piece.isprintable():
-                letters = piece.replace(" ", self._letters[0x20])
-            elif piece.lstrip(" ").isalpha() or not any(unicodedata.category(c) == "Cn" for c in piece):
-                letters = "".join(map(self._letters.__getitem__, piece.encode()))
-            else:
-                return _UNKNOWN
-            self._pieces[piece] = place = self._add(piece, [t.id for t in self._tokenize(letters)])
+            self._pieces[piece] = place = self._added_piece(piece, piece)
         return place
 
+    def _added_piece(self, key: str, piece: str) -> int:
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", self._letters[0x20])
+        elif piece.lstrip(" ").isalpha() or not any(unicodedata.category(c) == "Cn" for c in piece):
+            letters = "".join(map(self._letters.__getitem__, piece.encode()))
+        else:
+            return _UNKNOWN
+        return self._add(key, [t.id for t in self._tokenize(letters)])
+
     def _piece_keys(self, text: str) -> list[str]:
         out, at = [], 0
         for found in self._added.finditer(text) if self._added else ():
