@@ -9,8 +9,8 @@ and if what the tasks have seen of it adds up to the least frequency.
    all tasks are summed.
 3. Where two accepted phrases overlap in all but one word each, the task proposes their union for the next level.
 
-Where a level's candidates exceed the bound, no trie is sent: tasks propose every phrase of the next level, and the sums of what
-they propose are the counts. The results are the same.
+Proposals travel as the numbers of their halves. Where a level's candidates exceed the bound, no trie is sent: tasks propose every
+phrase of the next level, and the sums of what they propose are the counts. The results are the same.
 """
 
 from __future__ import annotations
@@ -33,19 +33,20 @@ LEAST, LONGEST, TOP, PERCENT, SCALE = 10, 3, 2000, 50, 1_000_000
 #: Bytes of the phrases whose tries may be sent to the tasks at a time, and phrases of one trie.
 TRIE_BYTES, TRIE_PHRASES = 16_000_000, 40_000
 
-#: Phrases that a task holds before it hands them on.
-HELD = 400_000
+#: Phrases that a task holds before it hands them on, and places of proposals.
+HELD, HELD_PLACES = 200_000, 1_500_000
 
 #: Longer phrases are looked up in a dictionary and not in the trie.
 DEEPEST = 96
 
-_BLOCK = 2_000_000
+_BLOCK = 1_000_000
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORDS = ~_BREAKS
 _WORDS[[0x20, 0x09]] = False
 _WORD, _PIECE = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+"), re.compile(rb"[.,;:!?\x0A-\x0D]")
-_COUNTS = "lang string, proposed boolean, phrase binary, n bigint"
+_COUNTS = "lang string, phrase binary, n bigint"
+_NUMBERED = "lang int, proposed boolean, number bigint, n bigint"
 
 
 class Trie:
@@ -168,11 +169,10 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield lang, batch.column("text").filter(pc.equal(langs, lang))
 
 
-def _handed_on(counts: dict[str, Counter], proposed: bool) -> pa.RecordBatch:
-    rows = [(lang, phrase, n) for lang, own in counts.items() for phrase, n in own.items()]
-    langs, phrases, n = (list(c) for c in zip(*rows)) if rows else ([], [], [])
-    columns = [pa.array(langs, pa.string()), pa.array([proposed] * len(n), pa.bool_()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "proposed", "phrase", "n"])
+def _handed_on(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, own in counts.items():
+        columns = [pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
 
 def _proposing(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -190,62 +190,90 @@ def _proposing(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                             found = _WORD.findall(piece)
                             own.update(map(b" ".join, zip(*(found[j:] for j in range(words)))))
                     if len(own) > HELD:
-                        yield _handed_on(counts, True)
+                        yield from _handed_on(counts)
                         own = Counter()
                         counts = {lang: own}
-        yield _handed_on(counts, True)
+        yield from _handed_on(counts)
 
     return propose
 
 
-def _advancing(words: int, tries: Callable[[], dict[str, list[Trie]]], proposing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def union(phrases: list[bytes], key: int) -> bytes:
-        one, other = divmod(key, len(phrases))
-        return b"%b %b" % (phrases[one], phrases[other].rpartition(b" ")[2])
+def _numbered(lang: int, proposed: bool, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(n), lang, np.int32)), pa.array(np.full(len(n), proposed)), pa.array(numbers), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "proposed", "number", "n"])
 
-    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of candidates of so many words, and proposals of one word more."""
-        sent = tries()
-        phrases = {lang: [p for t in own for p in t.phrases] for lang, own in sent.items()}
-        counts = {lang: np.zeros(len(own), np.int64) for lang, own in phrases.items()}
-        seen: dict[str, Counter] = {lang: Counter() for lang in sent}
 
-        def proposals() -> pa.RecordBatch:
-            return _handed_on({lang: Counter({union(phrases[lang], k): n for k, n in own.items()}) for lang, own in seen.items()}, True)
+class _Tries:
+    """Tries by language, with their phrases numbered throughout the language."""
+
+    def __init__(self, rows: list[tuple]):
+        self.langs = sorted({lang for lang, *_ in rows})
+        self.tries = {lang: [_unpacked(*row[1:]) for row in rows if row[0] == lang] for lang in self.langs}
+        self.phrases = {lang: [p for t in own for p in t.phrases] for lang, own in self.tries.items()}
+
+
+def _advancing(words: int, sent: Callable[[], _Tries], proposing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of candidates of so many words by number, and proposals of one word more by the numbers of both halves."""
+        own = sent()
+        index = {lang: i for i, lang in enumerate(own.langs)}
+        sizes = [len(own.phrases[lang]) for lang in own.langs]
+        counts = [np.zeros(size, np.int64) for size in sizes]
+        places: list[list[np.ndarray]] = [[] for _ in sizes]
+
+        def proposals() -> Iterator[pa.RecordBatch]:
+            for i, found in enumerate(places):
+                if found:
+                    yield _numbered(i, True, *np.unique(np.concatenate(found), return_counts=True))
+                    found.clear()
 
         for batch in batches:
             for lang, texts in _by_lang(batch):
-                if lang not in sent:
+                if lang not in index:
                     continue
+                at_lang = index[lang]
                 data, offsets = tb.flat(texts)
                 for i, j in tb.blocks(offsets, _BLOCK):
                     block = _Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     first = block.phrases(words)
-                    number, at = np.full(len(block.starts), -1, np.int64), 0
+                    number, before = np.full(len(block.starts), -1, np.int64), 0
                     starts, ends = block.starts[first], block.starts[first + words] - 1
-                    for trie in sent[lang]:
+                    for trie in own.tries[lang]:
                         found = trie.match(block.data, starts, ends)
-                        number[first[found >= 0]] = found[found >= 0] + at
-                        at += len(trie.phrases)
-                    counts[lang] += np.bincount(number[number >= 0], minlength=at)
+                        number[first[found >= 0]] = found[found >= 0] + before
+                        before += len(trie.phrases)
+                    counts[at_lang] += np.bincount(number[number >= 0], minlength=before)
                     if proposing:
                         longer = block.phrases(words + 1)
                         one, other = number[longer], number[longer + 1]
                         both = (one >= 0) & (other >= 0)
-                        keys, times = np.unique(one[both] * at + other[both], return_counts=True)
-                        own = seen[lang]
-                        for key, n in zip(keys.tolist(), times.tolist()):
-                            own[key] += n
-                        if len(own) > HELD:
-                            yield proposals()
-                            for held in seen.values():
-                                held.clear()
-        yield proposals()
-        yield _handed_on({lang: Counter({phrases[lang][i]: int(own[i]) for i in np.flatnonzero(own)}) for lang, own in counts.items()}, False)
+                        places[at_lang].append(one[both] * sizes[at_lang] + other[both])
+                        if sum(len(p) for found in places for p in found) > HELD_PLACES:
+                            yield from proposals()
+        yield from proposals()
+        for i, own_counts in enumerate(counts):
+            some = np.flatnonzero(own_counts)
+            yield _numbered(i, False, some, own_counts[some])
 
     return advance
 
 
+def _naming(sent: Callable[[], _Tries]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases in place of their numbers; a proposal is the first half and the last word of the second."""
+        own = sent()
+        for batch in batches:
+            langs, phrases = [own.langs[i] for i in batch.column("lang").to_pylist()], []
+            for lang, proposed, number in zip(langs, batch.column("proposed").to_pylist(), batch.column("number").to_pylist()):
+                known = own.phrases[lang]
+                one, other = divmod(number, len(known))
+                phrases.append(b"%b %b" % (known[one], known[other].rpartition(b" ")[2]) if proposed else known[number])
+            columns = [pa.array(langs, pa.string()), batch.column("proposed"), pa.array(phrases, pa.binary()), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "proposed", "phrase", "n"])
+
+    return name
+
+
 def _packed(table: pa.Table) -> pa.Table:
     """The trie of the phrases of one shard, as its arrays."""
     trie = Trie(table["phrase"].to_pylist())
@@ -261,7 +289,7 @@ def _unpacked(phrases: list[bytes], arrays: list[bytes]) -> Trie:
     return trie
 
 
-def _sent(candidates: DataFrame, limit: int) -> Callable[[], dict[str, list[Trie]]] | None:
+def _sent(candidates: DataFrame, limit: int) -> Callable[[], _Tries] | None:
     """The candidates' tries, broadcast; None if the candidates have more than `limit` bytes."""
     size, count = candidates.agg(F.sum(F.octet_length("phrase") + 8), F.count(F.lit(1))).first()
     if (size or 0) > limit:
@@ -271,14 +299,7 @@ def _sent(candidates: DataFrame, limit: int) -> Callable[[], dict[str, list[Trie
     rows = packed.applyInArrow(_packed, "lang string, phrases array<binary>, arrays array<binary>").collect()
     whole = [(r.lang, [bytes(p) for p in r.phrases], [bytes(a) for a in r.arrays]) for r in rows]
     shared = candidates.sparkSession.sparkContext.broadcast(whole)
-
-    def tries() -> dict[str, list[Trie]]:
-        out: dict[str, list[Trie]] = {}
-        for lang, phrases, arrays in shared.value:
-            out.setdefault(lang, []).append(_unpacked(phrases, arrays))
-        return out
-
-    return tries
+    return lambda: _Tries(shared.value)
 
 
 def phrase_counts(texts: DataFrame, least: int, longest: int, limit: int = TRIE_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -286,23 +307,25 @@ def phrase_counts(texts: DataFrame, least: int, longest: int, limit: int = TRIE_
 
     `texts` has `lang` and the bytes `text`.
     """
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("lang", "proposed", "phrase").agg(F.sum("n").alias("n"))
+    def proposals(words: int) -> DataFrame:
+        return texts.mapInArrow(_proposing(words), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
-    seen = written(summed(texts.mapInArrow(_proposing(1), _COUNTS)), "words")
+    seen = written(proposals(1), "words")
     totals = seen.groupBy("lang").agg(F.sum("n").alias("words"))
-    levels = []
+    candidates, levels = seen.where(F.col("n") >= least), []
     for words in range(1, longest + 1):
-        candidates = seen.where(F.col("proposed") & (F.col("n") >= least)).select("lang", "phrase", "n")
         candidates = written(candidates, "candidates")
-        tries = _sent(candidates, limit)
-        if tries is None:
+        sent = _sent(candidates, limit)
+        if sent is None:
             levels.append(candidates)
-            if words < longest:
-                seen = written(summed(texts.mapInArrow(_proposing(words + 1), _COUNTS)), "phrases")
+            candidates = proposals(words + 1).where(F.col("n") >= least)
             continue
-        seen = written(summed(texts.mapInArrow(_advancing(words, tries, words < longest), _COUNTS)), "phrases")
-        levels.append(seen.where(~F.col("proposed") & (F.col("n") >= least)).select("lang", "phrase", "n"))
+        counts = texts.mapInArrow(_advancing(words, sent, words < longest), _NUMBERED).groupBy("lang", "proposed", "number")
+        counts = counts.agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        named = counts.mapInArrow(_naming(sent), "lang string, proposed boolean, phrase binary, n bigint")
+        named = written(named, "phrases")
+        levels.append(named.where(~F.col("proposed")).drop("proposed"))
+        candidates = named.where("proposed").drop("proposed")
     return levels, totals
 
 
