@@ -334,3 +334,28 @@ def test_dictionary_words_end_at_word_boundaries(spark):
     hits = text.dictionary_entities(docs, "id", "text", names).orderBy("id", "start").collect()
     for i, (value, want) in enumerate(found.items()):
         assert [value[h.start : h.end] for h in hits if h.id == i] == want
+
+
+def test_dictionary_phrases_of_any_length_and_shared_words(spark):
+    long = " ".join(f"word{i % 50}" for i in range(5000))
+    names = spark.createDataFrame(
+        [(long, "PERSON"), ("a a b", "PERSON"), ("a b", "PERSON"), ("B", "LOCATION"), ("St Mary", "LOCATION"), ("St. Mary", "LOCATION"), ("", "X"), (None, "X")],
+        "phrase string, entity_type string",
+    )
+    values = ["a a a b", f"so {long} it was", "St. Mary and st mary", "no hit", "", None, "b. A b", "a a b at the end a"]
+    docs = spark.createDataFrame(list(enumerate(values)) + [(0, "b a a b"), (None, "x b"), (None, "a, b")], "id int, text string")
+    hits = text.dictionary_entities(docs, "id", "text", names).collect()
+    got = sorted((str(h.id), h.start, h.end, h.entity_type) for h in hits)
+
+    def brute(value):
+        import re
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", value or "")]
+        phrases = {tuple(re.findall(r"\w+", p.lower())): t for p, t in [(long, "PERSON"), ("a a b", "PERSON"), ("a b", "PERSON"), ("B", "LOCATION"), ("St Mary", "LOCATION")]}
+        for i in range(len(words)):
+            for phrase, kind in phrases.items():
+                run = words[i : i + len(phrase)]
+                if tuple(w[2] for w in run) == phrase:
+                    yield run[0][0], run[-1][1], kind
+
+    want = sorted((str(i), *span) for i, value in [*enumerate(values), (0, "b a a b"), (None, "x b"), (None, "a, b")] for span in brute(value))
+    assert got == want and len(want) > 15

@@ -139,61 +139,84 @@ def with_scan(df: DataFrame, name: str, text_col: str, label: str, **options) ->
 WORD_PATTERN = r"(?U)\w+(?:[.!?…]+['\"’”)\]]*(?=\s))?"
 
 
-def dictionary_entities(
-    df: DataFrame, key: str, text_col: str, dictionary: DataFrame, score: float = 0.85
-) -> DataFrame:
-    """Names and places from a ``(phrase, entity_type)`` table, one row per hit.
+_PLAIN_WORD = r"(?U)\w+"
 
-    Words of each text are joined up to n-grams, for each phrase length that occurs in the table,
-    and matched by one equi-join on the lower-cased phrase. Phrases are distinct in the table, so the
-    join adds no rows per n-gram; a small table is broadcast by its size, a large one is shuffled.
-    Words end at Unicode word boundaries, in phrases and texts. They count as adjacent whatever stands between them,
-    except for a sentence end that the phrase does not have there. Hits carry no preview: the text is not
-    copied along with every n-gram.
-    """
-    def bare(word: Column) -> Column:
-        return F.regexp_replace(word, r"(?U)\W+$", "")
+_HIT = "struct<word:int,at:int,words:array<string>,stops:array<boolean>,entity_type:string>"
+
+
+def _marked_words(text: Column) -> Column:
+    """``array<struct<start, end, word, stop>>``: words in lower case, and whether a sentence end follows."""
+
+    def marked(found: Column) -> Column:
+        bare = F.regexp_extract(found["value"], _PLAIN_WORD, 0)
+        return F.struct(
+            found["start"].alias("start"),
+            (found["start"] + F.length(bare)).alias("end"),
+            F.lower(bare).alias("word"),
+            (F.length(bare) < F.length(found["value"])).alias("stop"),
+        )
+
+    return F.transform(sp.find_spans(text, WORD_PATTERN), marked)
 
-    def joined(values: Column) -> Column:
-        """Words with a full stop for each sentence end between them."""
-        marked = F.transform(values, lambda v: F.when(bare(v) == v, v).otherwise(F.concat(bare(v), F.lit("."))))
-        inner = F.slice(marked, 1, F.greatest(F.size(values) - 1, F.lit(0)))
-        return F.lower(F.array_join(F.concat(inner, F.array(bare(F.element_at(values, -1)))), " "))
 
-    words = F.regexp_extract_all("phrase", F.lit(WORD_PATTERN), F.lit(0))
+def _rarest_words(dictionary: DataFrame) -> DataFrame:
+    """Each phrase once, with the word that fewest phrases hold (of those the longest, then the first) and its place."""
+    words = _marked_words(F.col("phrase"))
     phrases = (
-        dictionary.select(words.alias("w"), "entity_type", F.size(words).alias("n"))
-        .where(F.col("n") > 0)
-        .select(F.explode(F.array(joined(F.col("w")), joined(F.transform("w", bare)))).alias("phrase"), "entity_type", "n")
+        dictionary.select(words.alias("w"), "entity_type")
+        .where(F.size("w") > 0)
+        .select(F.col("w.word").alias("words"), F.slice("w.stop", 1, F.size("w") - 1).alias("stops"), "entity_type")
         .distinct()
     )
-    lengths = phrases.agg(F.array_sort(F.collect_set("n")).alias("n")).scalar()
+    places = phrases.select("words", "stops", "entity_type", F.posexplode("words").alias("at", "word"))
+    shared = phrases.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct("n", -F.length("word"), "at")
+    rarest = places.join(shared, "word").groupBy("words", "stops", "entity_type")
+    return rarest.agg(F.min_by(F.struct("word", "at"), order).alias("rarest")).select("rarest.*", "words", "stops", "entity_type")
 
-    def gram(i: Column) -> Column:
-        parts = F.slice("_w", i, F.col("n"))
-        last = F.element_at(parts, -1)
+
+def dictionary_entities(
+    df: DataFrame, key: str, text_col: str, dictionary: DataFrame, score: float = 0.85
+) -> DataFrame:
+    """Names and places from a ``(phrase, entity_type)`` table, one row per hit.
+
+    An inverted index holds each phrase under its rarest word. The words of the texts meet the index in one equi-join, as single
+    words with their places, so neither long phrases nor many lengths enlarge a row. Where an index word occurs, the phrase is
+    compared with the text around it. Spark broadcasts a small side of either join and shuffles large ones.
+
+    Words end at Unicode word boundaries, in phrases and texts, and compare in lower case. They count as adjacent whatever
+    stands between them, except for a sentence end that the phrase does not have there. The same hit of several spellings of a
+    phrase is given once. Null texts have no hits. Texts that share a key, a null one too, have their hits each. Hits carry no preview.
+    """
+    index = _rarest_words(dictionary)
+    words = F.transform(F.regexp_extract_all(text_col, F.lit(_PLAIN_WORD), F.lit(0)), F.lower)
+    met = df.select(F.col(key).alias("_key"), F.posexplode(words).alias("_place", "word")).join(index, "word")
+    hit = F.struct(F.col("_place").alias("word"), "at", "words", "stops", "entity_type").cast(_HIT)
+    hits = met.groupBy("_key").agg(F.collect_set(hit).alias("_hits"))
+
+    def found(h: Column) -> Column:
+        part = F.slice("_w", h["word"] - h["at"] + 1, F.size(h["words"]))
+        return F.struct(h["entity_type"].alias("entity_type"), part.alias("part"), h["words"].alias("words"), h["stops"].alias("stops"))
+
+    def holds(f: Column) -> Column:
+        stops = F.transform(F.slice(f["part"], 1, F.size(f["words"]) - 1), lambda w: w["stop"])
+        same = F.transform(f["part"], lambda w: w["word"]) == f["words"]
+        return same & ((stops == f["stops"]) | ~F.exists(stops, lambda stop: stop))
+
+    def span(f: Column) -> Column:
         return F.struct(
-            parts[0]["start"].alias("start"),
-            (last["end"] - F.length(last["value"]) + F.length(bare(last["value"]))).alias("end"),
-            joined(F.transform(parts, lambda w: w["value"])).alias("phrase"),
+            f["entity_type"].alias("entity_type"), f["part"][0]["start"].alias("start"), F.element_at(f["part"], -1)["end"].alias("end")
         )
 
-    grams = (
-        df.select(F.col(key), sp.find_spans(F.col(text_col), WORD_PATTERN).alias("_w"))
-        .withColumn("_n", lengths)
-        .select(key, "_w", F.explode("_n").alias("n"))
-        .where(F.size("_w") >= F.col("n"))
-        .select(
-            key,
-            F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1), gram)).alias("g"),
-        )
-        .select(key, "g.*")
-    )
-    return grams.join(phrases.select("phrase", "entity_type"), "phrase").select(
+    texts = df.select(F.col(key), F.col(text_col).alias("_text"))
+    joined = texts.join(hits, texts[key].eqNullSafe(hits["_key"])).select(key, "_hits", _marked_words(F.col("_text")).alias("_w"))
+    inside = F.filter("_hits", lambda h: (h["word"] >= h["at"]) & (h["word"] - h["at"] + F.size(h["words"]) <= F.size("_w")))
+    spans = F.array_distinct(F.transform(F.filter(F.transform(inside, found), holds), span))
+    return joined.select(key, F.explode_outer(spans).alias("_s")).where(F.col("_s").isNotNull()).select(
         key,
-        "entity_type",
-        "start",
-        "end",
+        "_s.entity_type",
+        "_s.start",
+        "_s.end",
         F.lit(score).alias("score"),
         F.lit(None).cast("string").alias("text_preview"),
     )
