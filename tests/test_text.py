@@ -359,3 +359,17 @@ def test_dictionary_phrases_of_any_length_and_shared_words(spark):
 
     want = sorted((str(i), *span) for i, value in [*enumerate(values), (0, "b a a b"), (None, "x b"), (None, "a, b")] for span in brute(value))
     assert got == want and len(want) > 15
+
+
+def test_corpus_leaks_are_substrings(spark):
+    from veilspark.operators import reports
+
+    values = ["Mona Keller", "keller", "KELLER", "abc", None, "", "aaaaa", "aaaaaaa", "ünïcödé", "🙂🙃🙂🙃🙂", "a.b*c"]
+    texts = ["xMONA KELLERy", "Kellerman and kelle r", "aaaaaa", "", None, "ÜNÏCÖDÉ🙂🙃🙂🙃🙂", "a.b*c aXbYc abc", "mona\nkeller"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, "aaaaa", 1), (None, "KELLER", 1)], "id int, text string, value int")
+    sought = spark.createDataFrame([(v,) for v in values], "v string")
+    got = sorted((str(r.id), r.value) for r in reports.corpus_leaks(df, "id", "text", sought, "v").collect())
+    lowered = {v.lower() for v in values if v and len(v) >= 5}
+    rows = [*enumerate(texts), (0, "aaaaa"), (None, "KELLER")]
+    assert got == sorted((str(i), v) for i, t in rows for v in lowered if t and v in t.lower())
+    assert reports.corpus_leaks(df.limit(0), "id", "text", sought, "v").count() == 0

@@ -114,44 +114,39 @@ def frequency_leakage(plain: DataFrame, masked: DataFrame, column: str) -> DataF
     )
 
 
-_WORDS = r"(?U)[^\W_]+"
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` code points. The lookahead matches at every place, so each run is cut once from where it starts."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)), lambda g: F.length(g) == size))
+
+
+def _rarest_grams(sought: DataFrame, size: int) -> DataFrame:
+    """Each value with the run of it that fewest values hold."""
+    grams = sought.select("value", F.explode(_grams(F.col("value"), size)).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return grams.join(shared, "gram").groupBy("value").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 
 
 def corpus_leaks(
     texts: DataFrame, key: str, text_col: str, values: DataFrame, value_col: str, minimum: int = 5
 ) -> DataFrame:
-    """Sensitive values that occur in any text, as whole words: ``(key, value)`` rows.
+    """Sensitive values that occur in any text, inside words too: ``(key, value)`` rows, values in lower case.
 
-    Values and texts are cut into the same words, and the n-grams of a text, for each length that
-    occurs among the values, meet the values in one semi join. Shorter values than ``minimum`` characters do not count.
-    """
+    The same rule as the leak check of single rows: a substring, whatever the case, of at least ``minimum`` characters. Every value
+    that long holds a run of ``minimum`` characters, so the index keeps it under the run that fewest values share; the distinct runs
+    of each text meet the index in one equi-join, and only what met is compared as a whole. No text is compared with every value. Spark
+    broadcasts a small side of either join, and adaptive execution splits runs that are in very many texts.
 
-    def words(column: Column) -> Column:
-        return F.regexp_extract_all(F.lower(column), F.lit(_WORDS), F.lit(0))
-
-    sought = (
-        values.where(F.length(value_col) >= minimum)
-        .select(F.array_join(words(F.col(value_col)), " ").alias("gram"), F.size(words(F.col(value_col))).alias("n"))
-        .where(F.col("n") > 0)
-        .distinct()
-    )
-    lengths = sought.agg(F.array_sort(F.collect_set("n")).alias("n")).scalar()
-    grams = (
-        texts.select(F.col(key), words(F.col(text_col)).alias("_w"))
-        .withColumn("_n", lengths)
-        .select(key, "_w", F.explode("_n").alias("n"))
-        .where(F.size("_w") >= F.col("n"))
-        .select(
-            key,
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1),
-                        lambda i: F.array_join(F.slice("_w", i, F.col("n")), " "),
-                    )
-                )
-            ).alias("gram"),
-        )
-    )
-    # Few values are sent to the texts; with many, adaptive execution splits n-grams that are in very many texts.
-    return grams.join(sought.select("gram"), "gram", "left_semi").select(key, F.col("gram").alias("value"))
+    A value is given once for each text, and for each of several texts with the same key. Null texts, values and keys: a null text or
+    value leaks nothing; texts with a null key are searched.
+    """
+    if minimum < 1:
+        raise ValueError("a value must have at least one character")
+    lowered = F.lower(F.col(value_col).cast("string"))
+    sought = values.select(lowered.alias("value")).where(F.length("value") >= minimum).distinct()
+    index = _rarest_grams(sought, minimum)
+    met = texts.select(F.col(key).alias("_key"), F.explode(_grams(F.lower(text_col), minimum)).alias("gram")).join(index, "gram")
+    candidates = met.groupBy("_key").agg(F.collect_set("value").alias("_values"))
+    searched = texts.select(F.col(key), F.lower(text_col).alias("_text"))
+    joined = searched.join(candidates, searched[key].eqNullSafe(candidates["_key"]))
+    leaked = F.filter("_values", lambda v: F.contains(F.col("_text"), v))
+    return joined.select(key, F.explode_outer(leaked).alias("value")).where(F.col("value").isNotNull())

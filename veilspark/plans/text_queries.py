@@ -312,18 +312,22 @@ def suggest_classes(spark, sf_dir):
     return reports.suggest_classes(column_discovery(spark, sf_dir))
 
 
+_EVERY_TENTH = "substr(transaction_id, length(transaction_id), 1) = '7'"
+_INSIDE = f"CASE WHEN {_EVERY_TENTH} THEN concat('x', upper(full_name), 'y ', text) ELSE replace(text, full_name, 'nobody') END"
+
+
 @query(
     with_inputs(
-        f", {_SCANS} SELECT transaction_id, replace(lower(full_name), '#', ' ') AS value FROM scans "
-        "WHERE full_name IN (SELECT full_name FROM customers)",
+        f", {_SCANS}, shown AS (SELECT transaction_id, lower({_INSIDE}) AS text FROM scans), "
+        "sought AS (SELECT DISTINCT lower(full_name) AS value FROM customers WHERE length(full_name) >= 5) "
+        "SELECT transaction_id, value FROM shown JOIN sought ON contains(text, value)",
         customers=True,
     )
 )
 def corpus_leaks(spark, sf_dir):
-    """Customer names anywhere in the scan texts."""
-    return reports.corpus_leaks(
-        _scans(spark, sf_dir), "transaction_id", "text", fx.customers(spark, sf_dir), "full_name"
-    )
+    """Customer names in scan texts: in a tenth of them inside a longer word and in capitals, elsewhere taken out."""
+    scans = _scans(spark, sf_dir).withColumn("text", F.expr(_INSIDE))
+    return reports.corpus_leaks(scans, "transaction_id", "text", fx.customers(spark, sf_dir), "full_name")
 
 
 # --- tokens -------------------------------------------------------------------------------------
