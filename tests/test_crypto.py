@@ -181,3 +181,32 @@ def test_pushed_down_masked_predicate(spark, make, ring, config, tmp_path):
     found = spark.read.parquet(path).where(F.col("email") == token)
     assert found.count() == 1
     assert f"EqualTo(email,{token})" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100, 4098])
+def test_network_is_a_bijection_of_any_size(spark, ring, config, size):
+    df = spark.range(size).toDF("n")
+    there = masking.permute_number(df.withColumn("was", F.col("n")), "n", size, ring, config)
+    rows = there.collect()
+    assert sorted(r.n for r in rows) == list(range(size))
+    assert size < 100 or sum(r.n == r.was for r in rows) < size / 10
+    back = masking.permute_number(there, "n", size, ring, config, inverse=True)
+    assert all(r.n == r.was for r in back.collect())
+
+
+def test_network_outside_its_domain_and_by_version(spark, ring, config):
+    df = spark.createDataFrame([(None,), (-1,), (10**9,), (10**9 - 1,), (0,)], "n long")
+    got = [r.n for r in masking.permute_number(df, "n", 10**9, ring, config).collect()]
+    assert got[:3] == [None, None, None] and all(0 <= n < 10**9 for n in got[3:]) and got[3] != got[4]
+    back = masking.permute_number(spark.createDataFrame([(n,) for n in got[3:]], "n long"), "n", 10**9, ring, config, inverse=True)
+    assert [r.n for r in back.collect()] == [10**9 - 1, 0]
+    with pytest.raises(ValueError):
+        masking.permute_number(df, "n", 0, ring, config)
+
+
+def test_text_domain(spark, ring, config):
+    words = [f"w{i % 40}é" for i in range(200)] + [None, ""]
+    table = masking.value_permutation(spark.createDataFrame([(w,) for w in words], "w string").repartition(5), "w", ring, config).collect()
+    assert sorted(r.value for r in table) == sorted(r.masked for r in table) == sorted({w for w in words if w is not None})
+    assert sum(r.value == r.masked for r in table) < 10
+    assert masking.value_permutation(spark.createDataFrame([], "w string"), "w", ring, config).count() == 0

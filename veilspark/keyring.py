@@ -70,6 +70,10 @@ class KeyRing:
         entry = F.struct("version", F.struct("k_enc", "k_ipad", "k_opad"))
         return self._table.agg(F.map_from_entries(F.collect_list(entry)).alias("k")).scalar()
 
+    def seed(self, version: str) -> Column:
+        """Seed of the permutations of one version. As with :meth:`keys`, add it as a column before a lambda needs it."""
+        return self._one(version).select("seed").scalar()
+
     def permutation(self, version: str, size: int) -> DataFrame:
         """One row: arrays ``forward`` and ``inverse`` of a seeded permutation of ``0..size-1``.
 

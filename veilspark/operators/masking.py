@@ -6,13 +6,14 @@ join and no shuffle, and Catalyst prunes the ciphers of columns that are not sel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilspark.config import EngineConfig, MaskPolicy
-from veilspark.functions import columns as C, crypto
+from veilspark.functions import columns as C, crypto, permutation
 from veilspark.keyring import KeyRing
 from veilspark.operators.lookup import via_dictionary
 from veilspark.sources import schemas
+from veilspark.sources.storage import shared_folder
 
 VERSION = "mask_version"
 
@@ -196,9 +197,15 @@ def masked_literal(
     return row.first()["token"]
 
 
+#: Rows of a lookup table that may be sent to every task whatever the session's limit says.
+BROADCAST_ROWS = 100_000
+
+
 def permute_join(df: DataFrame, column: str, keyring: KeyRing, config: EngineConfig, inverse: bool = False) -> DataFrame:
-    """Join form of the permutation: a lookup in a table of ``category_domain`` rows, broadcast for
-    its fixed size. Values outside the domain become null."""
+    """Join form of the permutation: a lookup in a table of ``category_domain`` rows. Up to ``BROADCAST_ROWS`` it is broadcast;
+    beyond, :func:`permute_number` needs no table. Values outside the domain become null."""
+    if config.category_domain > BROADCAST_ROWS:
+        return permute_number(df, column, config.category_domain, keyring, config, inverse)
     table = keyring.permutation_table(config.mask_version, config.category_domain)
     key, result = ("masked", "value") if inverse else ("value", "masked")
     lookup = table.select(F.col(key).alias("_key"), F.col(result).alias("_result"))
@@ -206,3 +213,46 @@ def permute_join(df: DataFrame, column: str, keyring: KeyRing, config: EngineCon
     return joined.select(
         *[F.col("_result").alias(column) if c == column else F.col(c) for c in df.columns]
     )
+
+
+def permute_number(
+    df: DataFrame, column: str, size: int, keyring: KeyRing, config: EngineConfig, inverse: bool = False
+) -> DataFrame:
+    """Permute integers of ``0..size-1``, for any size up to 2^60, row by row: no table and no join.
+
+    It is another permutation than the one of :func:`mask`. Null and values outside the domain become null.
+    """
+    seeded = df.withColumn("_seed", keyring.seed(config.mask_version))
+    out = [_keep_class(df, c, permutation.permute(F.col(c), size, F.col("_seed"), inverse)) if c == column else F.col(c) for c in df.columns]
+    return seeded.select(*out)
+
+
+def ranked(domain: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The distinct values of a column with their ``rank`` from 0 in ascending order, and how many there are; nulls are left out.
+
+    Values are dealt to ranges, counted by range, and numbered within each; only the counts of the ranges meet in one task.
+    """
+    values = domain.select(F.col(column).alias("value")).where("value is not null").distinct()
+    spread = values.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    path = shared_folder(domain.sparkSession, "ranked-domain")
+    spread.write.parquet(path)
+    spread = domain.sparkSession.read.schema(spread.schema).parquet(path)
+    counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    table = spread.withColumn("own", own).join(F.broadcast(bases), "part")
+    return table.select("value", (F.col("base") + F.col("own")).alias("rank")), spread.count()
+
+
+def value_permutation(domain: DataFrame, column: str, keyring: KeyRing, config: EngineConfig) -> DataFrame:
+    """A keyed bijection of the distinct values of any column onto themselves, as a table ``(value, masked)``.
+
+    Each value's rank is permuted and leads to the value of that rank. The table has one row for each distinct value; join it by
+    ``value`` to mask and by ``masked`` to restore, with :func:`veilspark.operators.lookup.lookup_join` where values are hot.
+    """
+    table, size = ranked(domain, column)
+    if not size:
+        return table.select("value", F.col("value").alias("masked"))
+    moved = permute_number(table, "rank", size, keyring, config)
+    return moved.join(table.select("rank", F.col("value").alias("masked")), "rank").select("value", "masked")

@@ -10,7 +10,7 @@ from veilspark.keyring import KeyRing
 from veilspark.operators import masking, scoring, validation, vault
 from veilspark.operators.rows import one_row_each
 from veilspark.plans import fixtures as fx
-from veilspark.plans.registry import PERMUTATION, query, sql_iv, sql_tracking_id, with_inputs
+from veilspark.plans.registry import PERMUTATION, query, sql_iv, sql_network, sql_tracking_id, with_inputs
 from veilspark.sources import readers, schemas, sinks
 from veilspark.sources.storage import shared_folder
 
@@ -295,6 +295,32 @@ def permute_category_inverse(spark, sf_dir):
     )
 
 
+LARGE_DOMAIN = 1_000_000_000
+
+
+@query(sql_network("orders", "o_custkey", "o_orderkey", LARGE_DOMAIN))
+def permute_large_domain(spark, sf_dir):
+    """Order keys permuted within a thousand million numbers, without a table."""
+    orders = fx.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return masking.permute_number(orders, "o_orderkey", LARGE_DOMAIN, fx.keyring(spark), fx.config())
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders")
+def permute_large_domain_inverse(spark, sf_dir):
+    return masking.permute_number(permute_large_domain(spark, sf_dir), "o_orderkey", LARGE_DOMAIN, fx.keyring(spark), fx.config(), inverse=True)
+
+
+@query("SELECT c_name AS value, c_name AS restored, true AS known FROM customer")
+def permute_text_domain(spark, sf_dir):
+    """Customer names permuted among themselves and back; every masked form is a name of the domain."""
+    names = fx.table(spark, sf_dir, "customer").select("c_name")
+    table = masking.value_permutation(names, "c_name", fx.keyring(spark), fx.config())
+    back = table.select(F.col("masked").alias("_masked"), F.col("value").alias("restored"))
+    masked = names.join(table, F.col("c_name") == F.col("value")).join(names.select(F.col("c_name").alias("name")).distinct(), F.col("masked") == F.col("name"), "left")
+    joined = masked.join(back, F.col("masked") == F.col("_masked"))
+    return joined.select("value", "restored", F.col("name").isNotNull().alias("known"))
+
+
 _CHANNEL_SQL = (
     "CASE channel WHEN 'POS' THEN 'CH_ALPHA' WHEN 'ECOM' THEN 'CH_BETA' WHEN 'ATM' THEN 'CH_GAMMA' "
     "WHEN 'MOB' THEN 'CH_DELTA' ELSE channel END"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.functions import permutation
 from veilspark.keyring import _hmac_pads
 from veilspark.plans import fixtures as fx
 
@@ -60,3 +61,23 @@ PERMUTATION = (
     "SELECT m AS value, row_number() OVER (ORDER BY sha256(concat("
     f"'{fx.KeyRing.derive_seed(fx.FIXTURE_KEY)}', '|', m)), m) - 1 AS masked FROM range(10000) t(m)"
 )
+
+
+def sql_network(source: str, columns: str, value: str, size: int, turns: int = 3) -> str:
+    """SQL for the table-free permutation: ``columns`` and ``value`` of ``source``, permuted by its own unrolled rounds.
+
+    Values are below the size after the first turn but for a few; more than ``turns`` do not occur in the tables at hand, and would
+    show as a difference.
+    """
+    low, high = permutation.bases(size)
+    seed = fx.KeyRing.derive_seed(fx.FIXTURE_KEY)
+    text = f"(SELECT {columns}, CAST({value} AS BIGINT) AS x FROM {source})"
+    for turn in range(turns):
+        text = f"(SELECT {columns}, x, x % {low} AS l, x // {low} AS h FROM {text})"
+        for number in range(1, permutation.ROUNDS + 1):
+            digit, base, other = ("l", low, "h") if number % 2 else ("h", high, "l")
+            move = f"CAST('0x' || substr(sha256(concat('{seed}', '|', {number}, '|', {other})), 1, 15) AS BIGINT)"
+            text = f"(SELECT {columns}, x, {other}, ({digit} + {move} % {base}) % {base} AS {digit} FROM {text})"
+        again = f"CASE WHEN x < {size} THEN x ELSE l + h * {low} END" if turn else f"l + h * {low}"
+        text = f"(SELECT {columns}, {again} AS x FROM {text})"
+    return f"SELECT {columns}, x AS {value} FROM {text}"
