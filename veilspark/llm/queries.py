@@ -87,15 +87,19 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`shortened` says whether anything was removed, `excerpt` whether what was removed is the lesser part of the text: a passage that
+    the text shares with others, and not a copy as a whole."""
     left = repeated_passages.without_repeats(_documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return left.select(
+    counted = left.select(
         "doc_id",
         (F.octet_length("kept") + removed).alias("n_bytes"),
         removed.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+    some = F.col("n_removed") > 0
+    return counted.select("*", some.alias("shortened"), (some & (2 * F.col("n_removed") < F.col("n_bytes"))).alias("excerpt"))
 
 
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,13 @@ def _halves(piece: pa.Array, reach: pa.Array, windows: pa.Array, cell: pa.Array,
     return _lists(owners, len(piece), columns)
 
 
+def _offsets(ends: np.ndarray) -> pa.Buffer:
+    """Offsets of a binary column; a batch of over 2 GB fails instead of wrapping around."""
+    if ends[-1] >= 1 << 31:
+        raise OverflowError("a batch of texts has over 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.py_buffer(ends.astype(np.int32))
+
+
 def _slices(text: pa.Array, pieces: pa.Array) -> pa.Array:
     """The bytes of pieces of each text, given as start and windows."""
     data, offsets = tb.flat(text)
@@ -154,7 +161,7 @@ def _slices(text: pa.Array, pieces: pa.Array) -> pa.Array:
     out = np.empty(int(sizes.sum()), np.uint8)
     for a, size, b in zip(starts, sizes, ends):
         out[b - size : b] = data[a : a + size]
-    bounds = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+    bounds = _offsets(np.concatenate([[0], ends]))
     values = pa.Array.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(out)])
     return pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), values)
 
@@ -252,7 +259,7 @@ def _removing(text: pa.Array, marks: pa.Array) -> pa.Array:
     spans = pa.StructArray.from_arrays([pa.array(first - offsets[of]), pa.array(last + 1 - offsets[of])], ["start", "end"])
     span_ends = np.searchsorted(of, np.arange(len(text) + 1)).astype(np.int32)
     kept_before = np.concatenate([[0], np.cumsum(~covered)])
-    bounds = pa.py_buffer(kept_before[offsets].astype(np.int32))
+    bounds = _offsets(kept_before[offsets])
     kept = pa.Array.from_buffers(pa.binary(), len(text), [None, bounds, pa.py_buffer(data[~covered])])
     return pa.StructArray.from_arrays([kept, pa.ListArray.from_arrays(pa.array(span_ends), spans)], ["kept", "spans"])
 
