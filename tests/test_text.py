@@ -373,3 +373,24 @@ def test_corpus_leaks_are_substrings(spark):
     rows = [*enumerate(texts), (0, "aaaaa"), (None, "KELLER")]
     assert got == sorted((str(i), v) for i, t in rows for v in lowered if t and v in t.lower())
     assert reports.corpus_leaks(df.limit(0), "id", "text", sought, "v").count() == 0
+
+
+def test_repeats_by_dominance(spark):
+    import random
+
+    from veilspark.functions import spans as sp
+
+    rng = random.Random(3)
+    cases = []
+    for _ in range(120):
+        found = []
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randint(0, 12)
+            found.append((rng.choice("AB"), at, at + rng.randint(1, 8), rng.randint(0, 6) / 8, "x"))
+        cases.append(found)
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, s {sp.SPANS_TYPE}")
+    for row in df.select("i", sp.drop_repeats(F.col("s")).alias("k")).collect():
+        found = set(cases[row.i])
+        kept = {a for a in found if not any(
+            b != a and b[0] == a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] for b in found)}
+        assert sorted(map(tuple, row.k)) == sorted(kept)

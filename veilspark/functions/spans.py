@@ -139,23 +139,33 @@ def not_contained(spans: Column, per_type: bool) -> Column:
 def drop_repeats(spans: Column) -> Column:
     """Within one entity type, drop a span that lies inside another one with at least its score.
 
-    Recognizers give few distinct scores, so this sweeps once per score level: a span of a level
-    survives if nothing of its type at that level or above contains it.
+    One sweep in order of type and start, longest and best first: a span is dropped exactly if an earlier one of its type reaches its
+    end with at least its score. Only the frontier is looked at: earlier spans that reach beyond the current start, and that no
+    other of them outreaches and outscores. It holds as many spans as overlap at one place, whatever the number of scores.
     """
+    frontier = "array<struct<g:string,end:int,score:double>>"
 
-    def sweep(items: Column) -> Column:
-        levels = F.array_distinct(F.transform(items, lambda s: s["score"]))
-        return F.flatten(
-            F.transform(
-                levels,
-                lambda level: F.filter(
-                    not_contained(F.filter(items, lambda s: s["score"] >= level), per_type=True),
-                    lambda s: s["score"] == level,
-                ),
-            )
+    def step(state: Column, s: Column) -> Column:
+        covered = F.exists(
+            state["open"], lambda o: (o["g"] == s["entity_type"]) & (o["end"] >= s["end"]) & (o["score"] >= s["score"])
+        )
+        rest = F.filter(
+            state["open"],
+            lambda o: (o["g"] == s["entity_type"]) & (o["end"] > s["start"]) & ((o["end"] > s["end"]) | (o["score"] > s["score"])),
+        )
+        here = F.array(F.struct(s["entity_type"].alias("g"), s["end"].alias("end"), s["score"].alias("score")))
+        return F.when(covered, state).otherwise(
+            F.struct(F.concat(rest, here).alias("open"), F.concat(state["kept"], F.array(s)).alias("kept"))
         )
 
-    return bind(spans, lambda items: F.when(F.size(items) < 2, items).otherwise(sweep(items)))
+    def sweep(items: Column) -> Column:
+        start = F.struct(F.array().cast(frontier).alias("open"), no_spans().alias("kept"))
+        return F.aggregate(items, start, step, lambda state: state["kept"])
+
+    ordered = _sorted_by(
+        spans, lambda s: s["entity_type"], lambda s: s["start"], lambda s: -s["end"], lambda s: -s["score"]
+    )
+    return bind(spans, lambda raw: F.when(F.size(raw) < 2, raw).otherwise(bind(ordered, sweep)))
 
 
 def resolve_overlaps(spans: Column) -> Column:
