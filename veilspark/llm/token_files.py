@@ -35,7 +35,7 @@ from veilspark.llm.tables import whole
 PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters and ids of remembered pieces, after which a worker starts anew.
-REMEMBERED = 24_000_000
+REMEMBERED = 36_000_000
 
 #: Characters of text encoded at a time; a longer text is taken alone.
 BLOCK = 2_000_000
