@@ -46,7 +46,7 @@ _WORDS = ~_BREAKS
 _WORDS[[0x20, 0x09]] = False
 _WORD, _PIECE = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+"), re.compile(rb"[.,;:!?\x0A-\x0D]")
 _COUNTS = "lang string, phrase binary, n bigint"
-_NUMBERED = "lang int, proposed boolean, number bigint, n bigint"
+_NUMBERED = "code bigint, n bigint"
 
 
 class Trie:
@@ -198,9 +198,11 @@ def _proposing(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return propose
 
 
-def _numbered(lang: int, proposed: bool, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(n), lang, np.int32)), pa.array(np.full(len(n), proposed)), pa.array(numbers), pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "proposed", "number", "n"])
+def _numbered(langs: int, lang: int, proposed: bool, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of a number and a count. One code holds number, language and kind: numbers of proposals stay below the square of a
+    language's candidates, which the bound on the tries keeps far below what a code can hold."""
+    code = (numbers.astype(np.int64) * langs + lang) * 2 + int(proposed)
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
 
 class _Tries:
@@ -224,7 +226,7 @@ def _advancing(words: int, sent: Callable[[], _Tries], proposing: bool) -> Calla
         def proposals() -> Iterator[pa.RecordBatch]:
             for i, found in enumerate(places):
                 if found:
-                    yield _numbered(i, True, *np.unique(np.concatenate(found), return_counts=True))
+                    yield _numbered(len(sizes), i, True, *np.unique(np.concatenate(found), return_counts=True))
                     found.clear()
 
         for batch in batches:
@@ -253,7 +255,7 @@ def _advancing(words: int, sent: Callable[[], _Tries], proposing: bool) -> Calla
         yield from proposals()
         for i, own_counts in enumerate(counts):
             some = np.flatnonzero(own_counts)
-            yield _numbered(i, False, some, own_counts[some])
+            yield _numbered(len(sizes), i, False, some, own_counts[some])
 
     return advance
 
@@ -263,12 +265,15 @@ def _naming(sent: Callable[[], _Tries]) -> Callable[[Iterator[pa.RecordBatch]],
         """Phrases in place of their numbers; a proposal is the first half and the last word of the second."""
         own = sent()
         for batch in batches:
-            langs, phrases = [own.langs[i] for i in batch.column("lang").to_pylist()], []
-            for lang, proposed, number in zip(langs, batch.column("proposed").to_pylist(), batch.column("number").to_pylist()):
-                known = own.phrases[lang]
+            langs, kinds, phrases = [], [], []
+            for code in batch.column("code").to_pylist():
+                number, lang = divmod(code >> 1, len(own.langs))
+                langs.append(own.langs[lang])
+                kinds.append(bool(code & 1))
+                known = own.phrases[own.langs[lang]]
                 one, other = divmod(number, len(known))
-                phrases.append(b"%b %b" % (known[one], known[other].rpartition(b" ")[2]) if proposed else known[number])
-            columns = [pa.array(langs, pa.string()), batch.column("proposed"), pa.array(phrases, pa.binary()), batch.column("n")]
+                phrases.append(b"%b %b" % (known[one], known[other].rpartition(b" ")[2]) if code & 1 else known[number])
+            columns = [pa.array(langs, pa.string()), pa.array(kinds, pa.bool_()), pa.array(phrases, pa.binary()), batch.column("n")]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "proposed", "phrase", "n"])
 
     return name
@@ -320,7 +325,7 @@ def phrase_counts(texts: DataFrame, least: int, longest: int, limit: int = TRIE_
             levels.append(candidates)
             candidates = proposals(words + 1).where(F.col("n") >= least)
             continue
-        counts = texts.mapInArrow(_advancing(words, sent, words < longest), _NUMBERED).groupBy("lang", "proposed", "number")
+        counts = texts.mapInArrow(_advancing(words, sent, words < longest), _NUMBERED).groupBy("code")
         counts = counts.agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         named = counts.mapInArrow(_naming(sent), "lang string, proposed boolean, phrase binary, n bigint")
         named = written(named, "phrases")
