@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from veilspark.functions import spans as sp
+from veilspark.functions.crypto import bind
 
 CONTEXT_WORDS_BEFORE = 5
 CONTEXT_BOOST = 0.35
@@ -147,11 +148,55 @@ DEFAULT_REGISTRY = (
 )
 
 
-def _has_context(text: Column, start: Column, words: Column) -> Column:
-    """Whether a context word is among the five whitespace-separated tokens before the match."""
-    before = F.rtrim(F.regexp_replace(F.substring(text, F.lit(1), start), r"(?U)\s+", " "))
-    near = F.lower(F.substring_index(before, " ", -CONTEXT_WORDS_BEFORE))
-    return F.arrays_overlap(F.split(near, r"(?U)\W+"), words)
+def _located(hits: Column) -> Column:
+    """``array<struct<start, end, value, near>>``: each match with the five whitespace-separated tokens before it, the last of them
+    cut off where the match begins.
+
+    The pieces from one match to the next give, by running counts, how many characters and spaces precede each match. The number of
+    spaces is the rank of a match among the tokens of the whole text: the whole tokens before it are read by their rank, and only
+    the token in which the match begins is put together from its pieces. No prefix of the text is read again.
+    """
+    steps = ("matches", "length", "spaces", "opened")
+    earlier = F.concat(F.array(F.lit("")), hits["matches"])
+    pieces = F.transform(
+        hits["matches"],
+        lambda _, i: F.regexp_replace(F.concat(F.get(earlier, i), F.get(hits["gaps"], i)), r"(?U)\s+", " "),
+    )
+
+    def counts(*values: Column) -> Column:
+        return F.struct(*[value.alias(name) for name, value in zip(steps, values)])
+
+    def step(a: Column, b: Column) -> Column:
+        return counts(*[a[c] + b[c] for c in steps[:3]], F.greatest(a["opened"], b["opened"]))
+
+    def placed(parts: Column) -> Column:
+        each = F.transform(
+            parts,
+            lambda part, i: counts(
+                F.lit(1),
+                F.length(F.get(hits["gaps"], i)) + F.length(F.get(hits["matches"], i)),
+                F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit(""))),
+                F.when(F.contains(part, F.lit(" ")), i).otherwise(F.lit(0)),
+            ),
+        )
+        return F.zip_with(
+            hits["matches"],
+            sp.running(each, step, counts(*[F.lit(0)] * len(steps))),
+            lambda value, at: F.struct(
+                (at["length"] - F.length(value)).alias("start"),
+                at["length"].alias("end"),
+                value.alias("value"),
+                near(parts, at).alias("near"),
+            ),
+        )
+
+    def near(parts: Column, at: Column) -> Column:
+        whole = [F.get(hits["tokens"], at["spaces"] - back) for back in range(CONTEXT_WORDS_BEFORE, 0, -1)]
+        own = F.array_join(F.slice(parts, at["opened"] + 1, at["matches"] - at["opened"]), "")
+        last = F.concat_ws(" ", *whole, F.substring_index(own, " ", -1))
+        return F.substring_index(F.rtrim(last), " ", -CONTEXT_WORDS_BEFORE)
+
+    return bind(pieces, placed)
 
 
 def _matches(text: Column, recognizer: Recognizer) -> Column:
@@ -174,18 +219,19 @@ def _matches(text: Column, recognizer: Recognizer) -> Column:
             valid.alias("valid"),
             found.alias("matches"),
             F.split(text, recognizer.regex, -1).alias("gaps"),
+            F.split(F.regexp_replace(text, r"(?U)\s+", " "), " ").alias("tokens"),
         ),
     )
 
 
-def _scored(text: Column, hits: Column) -> Column:
+def _scored(hits: Column) -> Column:
     """Spans of one recognizer's matches with validated and context-boosted scores."""
 
     def span(found: Column) -> Column:
         boosted = F.least(
             F.lit(1.0), F.greatest(hits["score"] + CONTEXT_BOOST, F.lit(CONTEXT_MINIMUM))
         )
-        near = _has_context(text, found["start"], hits["context"])
+        near = F.arrays_overlap(F.split(F.lower(found["near"]), r"(?U)\W+"), hits["context"])
         return F.struct(
             hits["entity_type"].alias("entity_type"),
             found["start"].alias("start"),
@@ -194,7 +240,7 @@ def _scored(text: Column, hits: Column) -> Column:
             found["value"].alias("text_preview"),
         )
 
-    located = sp.locate(hits["matches"], hits["gaps"])
+    located = _located(hits)
     checked = F.when(hits["valid"].isNull(), located).otherwise(
         F.filter(located, lambda _, i: F.get(hits["valid"], i))
     )
@@ -211,7 +257,7 @@ def recognize(text: Column, registry: Iterable[Recognizer]) -> Column:
     if not registry:
         return sp.no_spans()
     seen = F.filter(F.array(*[_matches(text, r) for r in registry]), lambda h: h.isNotNull())
-    return F.flatten(F.transform(seen, lambda hits: _scored(text, hits)))
+    return F.flatten(F.transform(seen, _scored))
 
 
 def analyze(

@@ -189,26 +189,43 @@ def resolve_overlaps(spans: Column) -> Column:
     )
 
 
+BLOCK = 256  # code points
+
+
+def in_blocks(text: Column) -> Column:
+    """A text as an array of blocks, for :func:`cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points ``[start, end)`` of a text in blocks. Only the blocks they lie in are read, whereas ``substring`` counts
+    from the start of the text every time."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    here = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(here, start - first * BLOCK + 1, end - start)
+
+
 def replace_spans(text: Column, spans: Column, replacement: Callable[[Column, Column], Column]) -> Column:
     """Rebuild the text around disjoint, ordered spans; ``replacement`` gets (entity type, value)."""
 
-    def rebuilt(items: Column) -> Column:
+    def rebuilt(items: Column, blocks: Column) -> Column:
         ends = F.transform(items, lambda s: s["end"])
         before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(items) - 1))
         pieces = F.zip_with(
             items,
             before,
             lambda s, at: F.concat(
-                F.substring(text, at + 1, s["start"] - at),
-                replacement(
-                    s["entity_type"], F.substring(text, s["start"] + 1, s["end"] - s["start"])
-                ),
+                cut(blocks, at, s["start"]), replacement(s["entity_type"], cut(blocks, s["start"], s["end"]))
             ),
         )
         tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
         return F.concat(F.array_join(pieces, ""), tail)
 
-    return bind(spans, lambda items: F.when(F.size(items) == 0, text).otherwise(rebuilt(items)))
+    return bind(
+        spans,
+        lambda items: F.when(F.size(items) == 0, text).otherwise(bind(in_blocks(text), lambda blocks: rebuilt(items, blocks))),
+    )
 
 
 def outside(spans: Column, blocked: Column) -> Column:
