@@ -7,7 +7,7 @@ from conftest import SAMPLE
 from veilspark.functions import columns as C, crypto
 from veilspark.operators import lookup, scoring, validation, vault
 from veilspark.plans import fixtures as fx, jobs
-from veilspark.sources import readers, schemas
+from veilspark.sources import readers, schemas, sinks
 from veilspark.sources.storage import shared_folder
 
 
@@ -201,14 +201,14 @@ def test_shared_folder(spark):
 
 def test_jobs_on_the_sample(spark, make, ring, config):
     none = spark.createDataFrame([], schemas.CUSTOMER)
-    explained = jobs.explain_transactions(make(), none, ring, config).first()
+    explained = jobs.explain_transactions(make(), none, ring, config, F.lit(0.75)).first()
     assert explained.unmasked_result.rm_explanation == (
         "Transaction by Mona Keller for 310.25 at NORTHSIDE BOOKS LINZ on 2027-03-08T06:42:11+01:00 received "
         "fraud score 75%. Reasons: DEVICE_NEW, AMOUNT_SPIKE, GEO_MISMATCH. Customer contact: +974 5512 3456, "
         "mona.keller@example.org."
     )
     run = jobs.full_artifacts(
-        make(), none, shared_folder(spark, "vault"), "r1", ring, config, F.lit("2026-01-20 10:00:00")
+        make(), none, shared_folder(spark, "vault"), "r1", ring, config, F.lit("2026-01-20 10:00:00"), F.lit(0.75)
     ).first()
     found = {e.entity_type for e in run.input_scan.entities}
     assert {"EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "CUSTOMER_ID"} <= found
@@ -217,7 +217,22 @@ def test_jobs_on_the_sample(spark, make, ring, config):
     assert run.cloud_payload.amount == pytest.approx(425.0425)
     assert "Mona" not in run.request.prompt
     locked = fx.config().__class__(log_hash_salt="s")
-    assert "unmasked_result" not in jobs.explain_transactions(make(), none, ring, locked).columns
+    assert "unmasked_result" not in jobs.explain_transactions(make(), none, ring, locked, F.lit(0.75)).columns
+
+
+def test_a_leaking_row_stops_only_itself(spark, make, ring, config, tmp_path):
+    none = spark.createDataFrame([], schemas.CUSTOMER)
+    rows = make({"transaction_id": "A"}, {"transaction_id": "B", "billing_address": "contact"})
+    explained = jobs.explain_transactions(rows, none, ring, config, F.lit(0.2))
+    good, bad = (str(tmp_path / name) for name in ("good", "bad"))
+    assert sinks.write_routed(explained, good, bad) == {"passed": 1, "blocked": 1}
+    passed, blocked = spark.read.parquet(good).first(), spark.read.parquet(bad).first()
+    assert passed.original.transaction_id == "A" and "Mona Keller" in passed.unmasked_result.rm_explanation
+    assert blocked.original.transaction_id == "B" and blocked.blocked == "llm egress blocked: plaintext of 'billing_address'"
+    assert blocked.masked_result is None and blocked.unmasked_result is None and blocked.unmask_warning is None
+    assert sinks.write_routed(explained.limit(0), good, bad) == {"passed": 0, "blocked": 0}
+    with pytest.raises(ValueError):
+        sinks.write_routed(explained, good, good + "/bad")
 
 
 def test_conform_refuses_what_does_not_fit(spark, make):

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -128,6 +129,36 @@ def test_context_is_five_tokens(texts):
     assert [r.entities[0].score for r in rows] == [1.0, 0.85]
 
 
+def test_context_as_read_from_the_whole_prefix(texts):
+    """Brute force over the text before each match, with all kinds of white space, glued words and empty tokens."""
+    rnd = random.Random(3)
+    parts = ["email", "Mail:", "x", "\U0001f600", "a@b.co", "q7@c.de,r@d.fr", "e-mail=", "é", "email1@x.io", "my_email", ""]
+    values = [
+        "".join(rnd.choice(parts) + rnd.choice([" ", "  ", "\n", "\t", ",", "", "\u00a0"]) for _ in range(rnd.randrange(40)))
+        for _ in range(200)
+    ]
+    registry = (R.Recognizer("E", r"\b[a-z0-9]+@[a-z]+\.[a-z]+", 0.5, ("email", "mail")), R.Recognizer("D", "[0-9]", 0.5, ("x",)))
+    rows = texts(*values).select("text", R.analyze(F.col("text"), registry, 0.0).alias("found")).collect()
+    words = {"E": {"email", "mail"}, "D": {"x"}}
+    seen = set()
+    for row in rows:
+        for s in row.found:
+            tokens_before = re.sub(r"\s+", " ", row.text[: s.start]).rstrip(" ").split(" ")[-5:]
+            near = set(re.split(r"\W+", " ".join(tokens_before).lower())) & words[s.entity_type]
+            assert s.score == (0.85 if near else 0.5), (row.text, s)
+            assert row.text[s.start : s.end] == s.text_preview
+            seen.add((s.entity_type, bool(near)))
+    assert len(seen) == 4
+
+
+def test_cut_by_blocks(texts):
+    value = "a\U0001f600\n" * 400
+    df = texts(value).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(1200), F.lit(37)))).withColumn(
+        "to", F.least(F.col("at") + F.col("at") % 600, F.lit(1200)))
+    rows = df.withColumn("b", sp.in_blocks(F.col("text"))).select("at", "to", sp.cut(F.col("b"), F.col("at"), F.col("to")).alias("c"))
+    assert all(r.c == value[r.at : r.to] for r in rows.collect())
+
+
 def test_overlaps_cover_everything(texts):
     registry = (
         R.Recognizer("LOW", r"bbb ccc ddd", 0.4),

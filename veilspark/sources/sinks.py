@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from veilspark.operators import egress, validation
 from veilspark.sources import schemas
@@ -13,15 +13,38 @@ def write_guarded(df: DataFrame, path: str, destination: str, mode: str = "appen
     egress.guard(df, destination, "fail").write.mode(mode).parquet(path)
 
 
+def _separate(*roots: str) -> None:
+    one, other = (f"{root.rstrip('/')}/" for root in roots)
+    if one.startswith(other) or other.startswith(one):
+        raise ValueError("released and rejected rows need separate roots")
+
+
+def write_routed(rows: DataFrame, path: str, quarantine: str, reason: str = "blocked", mode: str = "append") -> dict[str, int]:
+    """Write rows without a reason to ``path``, less that column, and the others to ``quarantine``; return how many went where.
+
+    Works on the jobs that explain. The rows are kept between the two writes, and the counts are taken while they are written.
+    """
+    _separate(path, quarantine)
+    counts = {}
+    kept = rows.persist()
+    try:
+        clear = F.col(reason).isNull()
+        for name, side, root in (("passed", kept.where(clear).drop(reason), path), ("blocked", kept.where(~clear), quarantine)):
+            seen = Observation()
+            side.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(root)
+            counts[name] = seen.get["n"]
+    finally:
+        kept.unpersist()
+    return counts
+
+
 def write_split(validated: DataFrame, path: str, quarantine: str, mode: str = "append") -> None:
     """Write valid rows to ``path`` and rejected ones, with their violations, to ``quarantine``.
 
     Works on the output of ``validation.validate`` and of ``egress.report``. The rows are kept between the two
     writes, so that the checks run once. Neither root may lie in the other: rejected rows may be plain.
     """
-    one, other = (f"{p.rstrip('/')}/" for p in (path, quarantine))
-    if one.startswith(other) or other.startswith(one):
-        raise ValueError("released and rejected rows need separate roots")
+    _separate(path, quarantine)
     bad = F.size(validation.VIOLATIONS) > 0
     kept = validated.persist()
     try:
