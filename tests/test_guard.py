@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from veilspark.functions.anonymizers import short_hash
+from veilspark.functions.columns import canonical_text
 from veilspark.operators import egress, masking
 from veilspark.sources import schemas, sinks
 
@@ -140,3 +142,11 @@ def test_records_in_containers_are_guarded_and_redacted(spark):
     hidden = egress.redact_for_log(df, "s").collect()
     assert hidden[0].map["k"].phone.startswith("[redacted:") and hidden[0].map["k"].note == "x"
     assert hidden[0].deep[1][0].phone.startswith("[redacted:") and tuple(hidden[1]) == (None, None)
+
+
+def test_logged_fractions_are_hashed_as_they_are_tokenized(spark):
+    rows = spark.createDataFrame([(1e10,), (None,)], "value double")
+    seen = [r.value for r in egress.redact_for_log(rows, "salt", {"value": "PII"}).collect()]
+    form = rows.select(short_hash(canonical_text(F.col("value"), "double"), "salt").alias("h")).first().h
+    plain = rows.select(short_hash(F.lit("1.0E10"), "salt").alias("h")).first().h
+    assert seen == [form, None] and form != plain

@@ -67,6 +67,27 @@ def test_late_scores_come_out_unmatched(spark, make, ring, config, tmp_path):
     assert (first, True) in rows and ("MASK-UNKNOWN", False) in rows and (second, False) in rows
 
 
+def test_replayed_rows_give_one_result(spark, make, ring, config, tmp_path):
+    stored = vault.vault_rows(make(), ring, config, F.lit("2026-01-20 10:00:00"))
+    again = vault.vault_rows(make(), ring, config, F.lit("2026-01-20 10:05:00"))
+    score = stored.select(
+        "masked_id", F.lit(0.2).alias("fraud_probability"), F.lit("m").alias("model_version"),
+        F.lit("2026-01-20 10:06:00").cast("timestamp").alias("predicted_at"),
+    )
+    other = score.withColumn("model_version", F.lit("other"))
+    vault_dir, score_dir, out = (str(tmp_path / n) for n in ("vault", "scores", "out"))
+    for turn in (1, 2):
+        (stored if turn == 1 else stored.unionAll(again)).write.mode("append").parquet(vault_dir)
+        score.unionAll(score).unionAll(other).write.mode("append").parquet(score_dir)
+        joined = streams.restore_stream(
+            spark.readStream.schema(score.schema).parquet(score_dir),
+            spark.readStream.schema(stored.schema).parquet(vault_dir), how="inner",
+        )
+        drain(streams.file_writer(joined, out, str(tmp_path / "ck")))
+        rows = spark.read.schema(joined.schema).parquet(out).collect()
+        assert sorted(r.model_version for r in rows) == ["m", "other"]
+
+
 def test_guarded_stream_is_idempotent(spark, make, ring, config, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     plain = make({}, {"transaction_id": "b"})

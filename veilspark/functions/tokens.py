@@ -50,6 +50,19 @@ def _stand_in(position: Column) -> Column:
     return F.concat(F.lit(_OPEN), F.translate(F.bin(position), "01", _ZERO + _ONE), F.lit(_CLOSE))
 
 
+def mask_problem(text: Column, replacements: Column) -> Column:
+    """Why :func:`mask_text` refuses a row, null if it does not."""
+    bad_key = F.exists(
+        replacements, lambda p: p["key"].contains("|") | (p["key"] == "") | p["key"].rlike(_RESERVED)
+    )
+    bad_value = F.exists(replacements, lambda p: p["value"].rlike(_RESERVED))
+    return (
+        F.when(text.rlike(_RESERVED), "text holds a reserved character")
+        .when(bad_key, "a replacement key is empty or holds a reserved character")
+        .when(bad_value, "a replacement value holds a reserved character")
+    )
+
+
 def mask_text(text: Column, replacements: Column, version: str, keys: Column, domain: str) -> Column:
     """Replace sensitive values in a text by tokens.
 
@@ -87,13 +100,9 @@ def mask_text(text: Column, replacements: Column, version: str, keys: Column, do
         numbered(replacements),
         lambda items: F.aggregate(items, F.aggregate(items, text, place), fill),
     )
-    bad_key = F.exists(replacements, lambda p: p["key"].contains("|") | (p["key"] == "")
-                       | p["key"].rlike(_RESERVED))
-    bad_value = F.exists(replacements, lambda p: p["value"].rlike(_RESERVED))
+    problem = mask_problem(text, replacements)
     return (
-        F.when(text.rlike(_RESERVED), F.raise_error(F.lit("text holds a reserved character")))
-        .when(bad_key, F.raise_error(F.lit("a replacement key is empty or holds a reserved character")))
-        .when(bad_value, F.raise_error(F.lit("a replacement value holds a reserved character")))
+        F.when(problem.isNotNull(), F.raise_error(problem))
         .when(replacements.isNull(), text)
         .otherwise(masked)
     )

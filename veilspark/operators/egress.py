@@ -296,7 +296,8 @@ def leaked_fields(prompt: Column, record: Column, profile: Column | None = None)
 def redact_for_log(df: DataFrame, salt: str, classes: dict[str, str] | None = None) -> DataFrame:
     """Replace PII and PCI values by a short salted hash, also inside structs, arrays and maps at any depth.
 
-    Null stays null and other classes stay readable. Numbers and booleans become text. A container of records is
+    Null stays null and other classes stay readable. Numbers and booleans become text,
+    fractions in the form in which they are tokenized. A container of records is
     opened, and their fields' own classes decide; the keys of a PII or PCI map are replaced as well.
     """
     if not salt:
@@ -329,6 +330,8 @@ def redact_for_log(df: DataFrame, salt: str, classes: dict[str, str] | None = No
             return value
         if isinstance(data_type, (T.ArrayType, T.MapType)):
             return short_hash(F.to_json(value), salt)
+        if isinstance(data_type, (T.DoubleType, T.FloatType)):
+            return F.when(value.isNotNull(), short_hash(canonical_text(value, "double"), salt))
         return short_hash(value, salt)
 
     return df.select(

@@ -121,13 +121,22 @@ def masked_explanation(prompt: str = "prompt") -> Column:
 
 def mask_texts(
     df: DataFrame, keyring: KeyRing, config: EngineConfig, text_col: str = "text",
-    replacements_col: str = "replacements",
+    replacements_col: str = "replacements", on_error: str = "fail",
 ) -> DataFrame:
-    """Add ``masked_text`` and ``mask_version`` to ``(text, replacements)`` rows."""
+    """Add ``masked_text`` and ``mask_version`` to ``(text, replacements)`` rows.
+
+    A text or replacement that holds a reserved character, or an empty key, fails the job; with ``on_error="null"`` such a row alone
+    gives null and ``problem`` says why.
+    """
+    if on_error not in ("fail", "null"):
+        raise ValueError("on_error must be 'fail' or 'null'")
     keyed = df.withColumn("_keys", keyring.keys(config.mask_version))
     masked = tokens.mask_text(
         F.col(text_col), F.col(replacements_col), config.mask_version, F.col("_keys"), config.domain
     )
+    if on_error == "null":
+        keyed = keyed.withColumn("problem", tokens.mask_problem(F.col(text_col), F.col(replacements_col)))
+        masked = F.when(F.col("problem").isNull(), masked)
     return keyed.withColumn("masked_text", masked).withColumn(
         "mask_version", F.lit(config.mask_version)
     ).drop("_keys")

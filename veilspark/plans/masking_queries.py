@@ -375,6 +375,24 @@ def unmask_transactions(spark, sf_dir):
 _CUSTOMER_LEVEL = list(TRANSACTION_ENCRYPTED)
 
 
+@query(
+    with_inputs(
+        f"SELECT transaction_id, mcc, {_CHANNEL_SQL} AS channel, amount * 1.37::DOUBLE AS amount, "
+        f"credit_limit * 4::DOUBLE AS credit_limit, {sql_iv('email', 'email')} AS email FROM transactions"
+    )
+)
+def mask_by_policy_table(spark, sf_dir):
+    """The policy is a table; a column it does not name stays, and a name the table lacks is ignored."""
+    config, rows = fx.config(), fx.transactions(spark, sf_dir)
+    named = spark.createDataFrame(
+        [("email", "encrypt", None), ("amount", "scale", None), ("credit_limit", "scale", 4.0), ("channel", "map", None),
+         ("absent", "encrypt", None)],
+        "column string, strategy string, factor double",
+    )
+    masked = masking.mask(rows, MaskPolicy.from_table(named, rows, config), fx.keyring(spark), config)
+    return masked.select("transaction_id", "mcc", "channel", "amount", "credit_limit", _iv("email"))
+
+
 @query(
     with_inputs(
         "SELECT transaction_id, mcc % 2 AS parity, amount * 1.37::DOUBLE AS amount, "

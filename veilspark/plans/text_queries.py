@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from veilspark.functions import anonymizers, columns as C, recognizers as R, spans as sp, tokens
-from veilspark.operators import explain, reports, scoring, text
+from veilspark.operators import explain, reports, scoring, text, validation
 from veilspark.plans import entity_sql, fixtures as fx
 from veilspark.plans.registry import query, with_inputs
 from veilspark.sources.readers import text_with_replacements
@@ -401,6 +401,42 @@ def unmask_text_values(spark, sf_dir):
     )
 
 
+@query(
+    with_inputs(
+        "SELECT CASE mcc % 5 WHEN 0 THEN 'text holds a reserved character' WHEN 1 THEN "
+        "'a replacement key is empty or holds a reserved character' WHEN 2 THEN "
+        "'a replacement value holds a reserved character' END AS problem, count(*) AS n, "
+        "sum(CASE WHEN mcc % 5 > 2 THEN 1 ELSE 0 END)::BIGINT AS masked FROM transactions GROUP BY 1"
+    )
+)
+def mask_text_problems(spark, sf_dir):
+    """Rows that cannot be masked are reported; the others are masked."""
+    kind, mark = F.col("mcc") % 5, F.lit("\ue000")
+    rows = fx.transactions(spark, sf_dir).select(
+        F.when(kind == 0, F.concat(F.col("email"), mark)).otherwise(F.col("email")).alias("text"),
+        F.array(
+            F.struct(
+                F.when(kind == 1, "").otherwise(F.lit("email")).alias("key"),
+                F.when(kind == 2, F.concat(F.col("email"), mark)).otherwise(F.col("email")).alias("value"),
+            )
+        ).alias("replacements"),
+    )
+    masked = explain.mask_texts(rows, fx.keyring(spark), fx.config(), on_error="null")
+    tokenized = F.coalesce(F.col("masked_text").startswith("[[ENC|v1|email|"), F.lit(False))
+    return masked.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.sum(tokenized.cast("bigint")).alias("masked"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'text_required' ELSE '' END AS violations FROM documents")
+def validate_texts(spark, sf_dir):
+    """A null text is rejected, an empty one is not."""
+    kind = F.col("doc_id") % 5
+    texts = fx.table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(kind == 1, "").when(kind != 0, F.coalesce("text", F.lit(""))).alias("text")
+    )
+    checked = validation.validate(texts, validation.text_rules())
+    return checked.select("doc_id", F.array_join(validation.VIOLATIONS, ",").alias("violations"))
+
+
 @query(
     with_inputs(
         "SELECT count(*) AS n, 0 AS opened, count(*) AS untokenized, 0 AS altered_opened, "

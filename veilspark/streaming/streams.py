@@ -41,15 +41,17 @@ def restore_stream(
 
     Both sides are watermarked, so state is dropped once the interval has passed. With ``leftOuter``
     a score without a vault row comes out with ``matched = false``, but only after later events have
-    moved the watermark beyond its interval.
+    moved the watermark beyond its interval. Replays give no second result: an equal score is dropped, and so is a vault row
+    whose id was stored within ``lateness`` before; what is later than the watermark is dropped anyway.
     """
     left = predictions.select(
         F.col("masked_id").alias("_id"), "fraud_probability", "model_version", predicted_at
     ).withWatermark(predicted_at, lateness)
+    left = left.dropDuplicatesWithinWatermark(left.columns)
     wanted = ("customer_id", "full_name", "phone", "email", "card_pan", "transaction_id", "amount")
     right = vault.select(
         "masked_id", stored_at, *[F.col(f"original.{c}").alias(c) for c in wanted]
-    ).withWatermark(stored_at, lateness)
+    ).withWatermark(stored_at, lateness).dropDuplicatesWithinWatermark(["masked_id"])
     in_time = (F.col(predicted_at) >= F.col(stored_at)) & (
         F.col(predicted_at) <= F.col(stored_at) + F.make_interval(hours=F.lit(ttl_hours))
     )
