@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +236,33 @@ def test_a_leaking_row_stops_only_itself(spark, make, ring, config, tmp_path):
         sinks.write_routed(explained, good, good + "/bad")
 
 
+def test_a_lookup_reads_one_prefix_folder(spark, make, ring, config, tmp_path):
+    path, long_ids = str(tmp_path / "vault"), replace(config, tracking_id_bytes=16)
+    df = make(*[{"transaction_id": str(i)} for i in range(60)])
+    rows = vault.vault_rows(df, ring, long_ids, F.lit("2026-01-20 10:00:00"))
+    vault.write_vault(rows, path, "r1", prefix_digits=1, refuse_collisions=True)
+    stored = vault.read_vault(spark, path)
+    wanted = stored.select("masked_id", F.col("original.transaction_id").alias("t")).first()
+    assert len(wanted.masked_id) == len("MASK-") + 32
+    found = vault.original_of(stored, wanted.masked_id)
+    assert [r.transaction_id for r in found.collect()] == [wanted.t]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numPartitions").value() == 1
+    assert len({f.split("id_prefix=")[1][:2] for f in stored.inputFiles()}) > 8
+    assert vault.masked_of(stored, "MASK-NONE").count() == 0
+
+
+def test_a_collision_is_refused_before_the_write(spark, make, ring, config, tmp_path):
+    path = str(tmp_path / "vault")
+    rows = vault.vault_rows(make({"transaction_id": "a"}, {"transaction_id": "b"}), ring, config, F.lit("2026-01-20 10:00:00"))
+    with pytest.raises(ValueError, match="share the id"):
+        vault.write_vault(rows.withColumn("masked_id", F.lit("MASK-1")), path, "r1", refuse_collisions=True)
+    assert not (tmp_path / "vault").exists()
+    again = rows.unionAll(rows)  # the same record twice shares its id rightly
+    vault.write_vault(again, path, "r1", refuse_collisions=True)
+    assert spark.read.parquet(path).count() == 4
+
+
 def test_conform_refuses_what_does_not_fit(spark, make):
     row = readers.conform(make().withColumn("mcc", F.lit(5411.7)).withColumn("phone", F.lit(974)), schemas.TRANSACTION).first()
     assert row.mcc is None and row.phone is None and row.type_errors == ["phone", "mcc"]

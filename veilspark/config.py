@@ -49,6 +49,7 @@ class EngineConfig:
     include_original: bool = False
     allow_unmask: bool = False
     allow_unmask_text: bool | None = None
+    tracking_id_bytes: int = 8
     vault_ttl_hours: int = VAULT_TTL_HOURS
 
     def __post_init__(self) -> None:
@@ -56,6 +57,8 @@ class EngineConfig:
             raise ValueError("mask_version must look like v1, v2, ...")
         if len(set(self.channel_map.values())) != len(self.channel_map):
             raise ValueError("channel_map must be one-to-one")
+        if not 8 <= self.tracking_id_bytes <= 32:
+            raise ValueError("tracking ids have 8 to 32 bytes")
         if any(factor == 0 for factor in self.scale_factors.values()):
             raise ValueError("scale factors must not be zero")
 

@@ -19,12 +19,16 @@ from veilspark.sources import schemas
 
 MASKED_ID = "masked_id"
 STORED_AT = "stored_at"
+PREFIX = "id_prefix"
 
 
 def with_tracking_id(df: DataFrame, keyring: KeyRing, config: EngineConfig, run: str = "") -> DataFrame:
     """Add the repeatable id of each transaction."""
     return df.withColumn(
-        MASKED_ID, crypto.tracking_id(F.col("transaction_id"), keyring.keys(config.mask_version), run)
+        MASKED_ID,
+        crypto.tracking_id(
+            F.col("transaction_id"), keyring.keys(config.mask_version), run, config.tracking_id_bytes
+        ),
     )
 
 
@@ -44,17 +48,32 @@ def vault_rows(
     )
 
 
-def write_vault(rows: DataFrame, path: str, run_id: str) -> None:
+def write_vault(
+    rows: DataFrame, path: str, run_id: str, prefix_digits: int = 0, refuse_collisions: bool = False
+) -> None:
     """Write one run's rows in place of those it wrote before. Files are in the order of ids, so that lookups skip
-    row groups."""
+    row groups.
+
+    ``prefix_digits`` adds one folder for each beginning of an id, evenly filled since ids are hashes, and Bloom filters on ids: a
+    lookup then opens the files of one folder. ``refuse_collisions`` raises before anything is written if records share an id.
+    """
     if not re.fullmatch(r"[A-Za-z_][\w.-]*", run_id):
         raise ValueError("a run id is a name of letters, digits, '_', '-' and '.'")
+    if refuse_collisions and (shared := tracking_id_collisions(rows).first()):
+        raise ValueError(f"{shared['records']} records share the id {shared[MASKED_ID]}; take longer ids")
+    dated, folders = rows.withColumn("ingest_date", F.to_date(STORED_AT)), ["ingest_date"]
+    if prefix_digits:
+        folders.append(PREFIX)
+        # a letter in front keeps Spark from reading the folder names as numbers
+        begins = F.concat(F.lit("p"), F.substring(MASKED_ID, len("MASK-") + 1, prefix_digits))
+        dated = dated.withColumn(PREFIX, begins).repartition(*folders)
     (
-        rows.withColumn("ingest_date", F.to_date(STORED_AT))
-        .sortWithinPartitions("ingest_date", MASKED_ID)
+        dated.sortWithinPartitions(*folders, MASKED_ID)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
-        .partitionBy("ingest_date")
+        .option(f"parquet.bloom.filter.enabled#{MASKED_ID}", bool(prefix_digits))
+        .option("parquet.bloom.filter.adaptive.enabled", True)
+        .partitionBy(*folders)
         .parquet(f"{path.rstrip('/')}/run_id={run_id}")
     )
 
@@ -88,18 +107,27 @@ def mask_and_track(
 
     Ids leave only after they are stored, whatever tasks are retried.
     """
-    write_vault(vault_rows(df, keyring, config, stored_at, run_id), path, run_id)
+    # ids of 16 bytes need no look for collisions, which reads the input once more
+    rows = vault_rows(df, keyring, config, stored_at, run_id)
+    write_vault(rows, path, run_id, refuse_collisions=config.tracking_id_bytes < 16)
     stored = df.sparkSession.read.parquet(path).where(F.col("run_id") == run_id)
     masked = stored.select(MASKED_ID, "masked.*")
     return schemas.with_schema_classes(masked, schemas.MASKED_TRANSACTION)
 
 
 def original_of(vault: DataFrame, masked_id: str) -> DataFrame:
-    return vault.where(F.col(MASKED_ID) == masked_id).select("original.*")
+    return _row(vault, masked_id).select("original.*")
 
 
 def masked_of(vault: DataFrame, masked_id: str) -> DataFrame:
-    return vault.where(F.col(MASKED_ID) == masked_id).select("masked.*")
+    return _row(vault, masked_id).select("masked.*")
+
+
+def _row(vault: DataFrame, masked_id: str) -> DataFrame:
+    found = vault.where(F.col(MASKED_ID) == masked_id)
+    if PREFIX not in vault.columns:
+        return found
+    return found.where(F.startswith(F.lit("p" + masked_id.removeprefix("MASK-")), F.col(PREFIX)))
 
 
 def restore_identity(predictions: DataFrame, vault: DataFrame, split_hot: bool = True) -> DataFrame:

@@ -539,6 +539,21 @@ def vault_point_lookup(spark, sf_dir):
     return vault.original_of(vault_rows(spark, sf_dir), masked_id)
 
 
+@query(
+    with_inputs(
+        f"SELECT {sql_tracking_id('transaction_id', 'run1', 32)} AS masked_id, transaction_id, "
+        f"'p' || substr({sql_tracking_id('transaction_id', 'run1', 32)}, 6, 1) AS id_prefix FROM transactions"
+    )
+)
+def vault_by_prefix(spark, sf_dir):
+    """Ids of 128 bits, in one folder for each first digit."""
+    ring, config = fx.keyring(spark), fx.config(tracking_id_bytes=16)
+    path = shared_folder(spark, "vault")
+    rows = vault.vault_rows(fx.transactions(spark, sf_dir), ring, config, ingest_run(), "run1")
+    vault.write_vault(rows, path, "run1", prefix_digits=1, refuse_collisions=True)
+    return vault.read_vault(spark, path).select("masked_id", "original.transaction_id", "id_prefix")
+
+
 RECOMMENDATION_SQL = (
     "CASE WHEN fraud_probability < 0.3 THEN 'APPROVE - Low risk transaction' "
     "WHEN fraud_probability < 0.7 THEN 'REVIEW - Medium risk, manual review recommended' "

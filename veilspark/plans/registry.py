@@ -52,8 +52,8 @@ def sql_iv(value: str, field: str) -> str:
     return f"upper(substr({sql_hmac(f''' '{len(label):08d}:{label}' || {value} ''')}, 1, 32))"
 
 
-def sql_tracking_id(record_id: str, run: str = "") -> str:
-    return f"'MASK-' || upper(substr({sql_hmac(f''' 'tracking-id|{run}|' || {record_id} ''')}, 1, 16))"
+def sql_tracking_id(record_id: str, run: str = "", digits: int = 16) -> str:
+    return f"'MASK-' || upper(substr({sql_hmac(f''' 'tracking-id|{run}|' || {record_id} ''')}, 1, {digits}))"
 
 
 #: The permutation as a table, ranked by SQL's own window.
