@@ -1,8 +1,10 @@
 """Quality by importance resampling.
 
 Two generative models of hashed n-grams are counted, one of target texts (labelled good) and one of all texts. A text's
-importance is the ratio of its probabilities under the two; adding Gumbel noise to the logarithms and taking the k
-largest samples k texts without replacement in proportion to their importance.
+importance is the ratio of the probabilities that the two give a passage of fixed length with the text's mixture of
+n-grams: over whole texts the ratio would tell long from short rather than good from bad. Adding Gumbel noise to the
+logarithms and taking the k largest samples k texts without replacement in proportion to their importance. The border that
+the k-th key makes is fitted on labelled texts of both kinds.
 
 The n-grams are runs of three bytes, which see symbols, case and letters of a language, and pairs of word shapes, which see
 repetition and layout.
@@ -25,12 +27,14 @@ RESULTS = ["log_weight", "sampling_key", "kept"]
 #: Buckets of byte trigrams and of word shape pairs.
 BYTE_BITS, SHAPE_BITS = 15, 12
 
-#: Labelled good rows used at most, half of them to count the target model and half to choose k.
+#: Labelled rows used at most: half of the good ones count the target model, all others choose the border.
 LABELLED_ROWS = 40_000
 
-#: Share of labelled good texts that the chosen k keeps, and how far below their keys it still reaches: a few labelled texts
-#: do not show the least key of all good ones.
-RECALL, MARGIN = 0.9995, 5.0
+#: How many bad texts kept weigh as much as one good text lost.
+LOSS = 20.0
+
+#: N-grams of the passage that is weighed, and n-grams of no weight that each text is given beforehand.
+PASSAGE, PRIOR = 256.0, 64.0
 
 #: Occurrences of each bucket that both models are given beforehand.
 SMOOTHING = 32.0
@@ -62,9 +66,9 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     first, last = _CLASSES[data[words.starts]].astype(np.uint32), _CLASSES[data[words.ends - 1]].astype(np.uint32)
     long = np.minimum((words.ends - words.starts) >> 3, 3).astype(np.uint32)
     again = np.zeros(len(first), np.uint32)
+    texts = words.texts()
     for back in (1, 2, 3):
-        again[back:] |= words.hashes[back:] == words.hashes[:-back]
-    again[words.first[:-1][words.counts > 0]] = 0
+        again[back:] |= (words.hashes[back:] == words.hashes[:-back]) & (texts[back:] == texts[:-back])
     shape = first | last << np.uint32(3) | long << np.uint32(6) | again << np.uint32(8)
     before = np.concatenate([shape[:1] * 0, shape[:-1]]) + np.uint32(1)
     before[words.first[:-1][words.counts > 0]] = 0
@@ -90,15 +94,18 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _weighing(ratios: np.ndarray) -> Callable[[pa.Array], pa.Array]:
     def weigh(text: pa.Array) -> pa.Array:
         data, offsets = tb.flat(text)
-        out = [np.zeros(0)]
+        out, grams = [np.zeros(0)], [np.zeros(0, np.int64)]
         for i, j in tb.blocks(offsets):
-            total = np.zeros(j - i)
+            total, count = np.zeros(j - i), np.zeros(j - i, np.int64)
             for buckets, sizes in _features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                 sums = np.concatenate([[0.0], np.cumsum(ratios[buckets])])
                 ends = np.cumsum(sizes)
                 total += sums[ends] - sums[ends - sizes]
+                count += sizes
             out.append(total)
-        return pa.array(np.concatenate(out))
+            grams.append(count)
+        columns = [pa.array(np.concatenate(out)), pa.array(np.concatenate(grams))]
+        return pa.StructArray.from_arrays(columns, ["total", "grams"])
 
     return weigh
 
@@ -113,8 +120,25 @@ class QualityModel:
 
     def weighed(self, df: DataFrame, text_col: str, id_col: str, weight: str, key: str) -> DataFrame:
         uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), f"`{id_col}`"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
-        df = df.withColumn(weight, F.arrow_udf(_weighing(self.ratios), "double")(whole(f"`{text_col}`")))
-        return df.withColumn(key, F.col(weight) - F.log(-F.log(uniform)))
+        sums = fresh("sums", df)
+        df = df.withColumn(sums, F.arrow_udf(_weighing(self.ratios), "struct<total:double,grams:bigint>")(whole(f"`{text_col}`")))
+        passage = F.col(sums)["total"] * PASSAGE / (F.col(sums)["grams"] + PRIOR)
+        return df.withColumn(weight, F.col(sums)["total"]).withColumn(key, passage - F.log(-F.log(uniform))).drop(sums)
+
+
+def border(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
+    """The key from which texts are kept, from the keys of labelled good and bad texts.
+
+    It makes the good texts below it, `loss` times, and the bad ones above it the fewest; among equals the lowest does. It lies
+    halfway to the next bad key below. Where no bad key lies below, or no good one is known, nothing is rejected.
+    """
+    good, bad = np.sort(good), np.sort(bad)
+    if not len(good):
+        return float("-inf")
+    places = np.unique(good)
+    below = np.searchsorted(bad, places)
+    best = int(np.argmin(loss * np.searchsorted(good, places) - below))
+    return float((places[best] + bad[below[best] - 1]) / 2) if below[best] else float("-inf")
 
 
 def fit(
@@ -124,21 +148,24 @@ def fit(
     text_col: str = "text",
     label_col: str = "quality",
     labelled_rows: int = LABELLED_ROWS,
-    recall: float = RECALL,
+    loss: float = LOSS,
     seed: int = 1,
 ) -> QualityModel:
-    """Counts both models and the sampling key that a share `recall` of labelled good texts reaches.
+    """Counts both models and the `border` of the sampling keys.
 
-    The raw model counts every text. The target model counts half of at most `labelled_rows` labelled good texts, taken by a
-    hash of their identifier; the key is chosen on the other half. Without good labels all texts weigh the same and all
-    are kept. Rows of `labels` with a null are passed over; a document labelled twice is good if it was once.
+    The raw model counts every text. Of at most `labelled_rows` labelled texts, taken by a hash of their identifier, the target
+    model counts half of the good ones; the border is fitted on the other half and on the bad ones. Without good or without
+    bad labels all texts are kept. Rows of `labels` with a null are passed over; a document labelled twice is good if it was
+    once.
     """
-    good = labels.where(f"`{label_col}` = 1 and `{id_col}` is not null").select(F.col(f"`{id_col}`").alias("id")).distinct()
+    known = labels.where(f"`{label_col}` is not null and `{id_col}` is not null").groupBy(F.col(f"`{id_col}`").alias("id"))
+    known = known.agg(F.max(F.col(f"`{label_col}`") == 1).alias("good"))
     order = F.xxhash64(F.lit(seed), F.lit("labelled"), "id")
-    good = good.orderBy(order, "id").limit(labelled_rows).withColumn("fitting", F.pmod(order, F.lit(2)) == 0)
-    good = written(good, "labelled")  # at most labelled_rows rows: small enough to send
+    fitting = F.col("good") & (F.pmod(order, F.lit(2)) == 0)
+    known = known.orderBy(order, "id").limit(labelled_rows).withColumn("fitting", fitting)
+    known = written(known, "labelled")  # at most labelled_rows rows: small enough to send
     rows = df.select(F.col(f"`{id_col}`").alias("id"), whole(f"`{text_col}`").alias("text"))
-    marked = rows.join(F.broadcast(good), "id", "left")
+    marked = rows.join(F.broadcast(known.where("fitting")), "id", "left")
     flags = marked.select("text", F.coalesce("fitting", F.lit(False)).alias("target"))
     counts = flags.mapInArrow(_counting, "bucket bigint, raw bigint, target bigint")
     raw, target = np.zeros(_SIZE), np.zeros(_SIZE)
@@ -152,11 +179,12 @@ def fit(
             expected = raw[part] / raw[part].sum() * target[part].sum()
             ratios[part] = np.log((target[part] + SMOOTHING) / (expected + SMOOTHING))
     model = QualityModel(ratios, float("-inf"), seed)
-    checked = rows.join(F.broadcast(good.where("not fitting")), "id")
-    keys = np.sort([k for (k,) in model.weighed(checked, "text", "id", "w", "k").select("k").collect()])
-    if not target.sum() or not len(keys):
+    checked = rows.join(F.broadcast(known.where("not fitting")), "id")
+    keys = model.weighed(checked, "text", "id", "w", "k").select("good", "k").collect()
+    if not target.sum():
         return model
-    return QualityModel(ratios, float(keys[int((1 - recall) * len(keys))]) - MARGIN, seed)
+    good, bad = (np.array([k for is_good, k in keys if is_good == kind]) for kind in (True, False))
+    return QualityModel(ratios, border(good, bad, loss), seed)
 
 
 def importance_sample(
@@ -164,7 +192,7 @@ def importance_sample(
 ) -> DataFrame:
     """The input with `log_weight`, `sampling_key` and `kept`, true for the k texts with the largest keys.
 
-    Without `k`, it is the number of texts whose key reaches the model's threshold. Equal keys at the border are all kept.
+    `log_weight` is that of the whole text, the key takes its share for one passage. Without `k`, it is the number of texts whose key reaches the model's threshold. Equal keys at the border are all kept.
     Null and empty texts weigh nothing (0). Input columns with the name of a result are replaced.
     """
     weight, key = fresh("weight", df), fresh("key", df)
