@@ -1,12 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-The words of a block of texts form one shard; its suffix array holds the places where a benchmark window could
-begin (its first two words do), sorted by the words that follow. Every suffix of the benchmark narrows its range of that
-array word by word, by binary search, which gives its longest match and all places of it. Full windows that match
-are the contamination; the words under them are hit.
-
-Texts never leave their task. The benchmark is the stated query set: the driver reads it and sends it to the executors in
-blocks of bounded size, and what the blocks before have found travels with the row.
+The words of a block of texts form one shard; its suffix array holds the places whose first two words begin a suffix of
+the benchmark, sorted by the words that follow. Every suffix of the benchmark narrows its range of that array word by word,
+by binary search, up to the length of a window. Windows that match at places side by side, in the text and in the item, are
+one longer match, so the longest matches and all places of them follow without a deeper sort. The words under matching
+windows are hit.
+
+Texts never leave their task. The benchmark is the stated query set: the driver reads it and broadcasts it in blocks of
+bounded size, one in its memory at a time, and what the blocks before have found travels with the row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.llm import text_bytes as tb
@@ -26,7 +28,11 @@ RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 #: Words of a window, and bytes of benchmark text searched at a time.
 WINDOW, BLOCK_BYTES = 10, 8_000_000
 
-_FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,longest:bigint,items:array<string>>"
+_MATCH = ["item", "item_start", "start", "length"]
+_FOUND = (
+    "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,longest:bigint,"
+    "matches:array<struct<item:string,item_start:bigint,start:bigint,length:bigint>>>"
+)
 
 
 @dataclass(frozen=True)
@@ -34,6 +40,7 @@ class Queries:
     """Words of a block of benchmark items: all suffixes, and which of them are windows of which items."""
 
     hashes: np.ndarray
+    starts: np.ndarray  # for each word, the first word of its item
     ends: np.ndarray  # for each word, the end of its item
     lengths: np.ndarray  # words of the window that begins at each word, 0 if none does
     items: np.ndarray  # the item of each word
@@ -43,11 +50,11 @@ class Queries:
     def of(cls, texts: list[str], ids: list[str | None], window: int) -> Queries:
         data, offsets = tb.flat(pa.array(texts, pa.string()))
         words = tb.Words(data, offsets, tb.ALPHANUMERIC)
-        ends = np.repeat(words.first[1:], words.counts)
+        item_starts, ends = np.repeat(words.first[:-1], words.counts), np.repeat(words.first[1:], words.counts)
         lengths = np.zeros(len(words.hashes), np.int64)
         _, starts = tb.windows(words, window)
         lengths[starts] = np.minimum(window, (ends - np.arange(len(ends)))[starts])
-        return cls(words.hashes, ends, lengths, words.texts(), tuple(ids))
+        return cls(words.hashes, item_starts, ends, lengths, words.texts(), tuple(ids))
 
 
 def _heads(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,9 +69,9 @@ def _heads(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(words: np.ndarray, ends: np.ndarray, queries: Queries, depth: int) -> np.ndarray:
-    """The suffix array: places whose first words begin a window, in the order of their first `depth` words."""
+    """The suffix array: places whose first words begin a query, in the order of their first `depth` words."""
     own, theirs = _heads(words, ends), _heads(queries.hashes, queries.ends)
-    begins = np.isin(own, theirs[queries.lengths >= 2]) & (own != 0)
+    begins = np.isin(own, theirs) & (own != 0)
     if (alone := queries.lengths == 1).any():
         begins |= np.isin(words, queries.hashes[alone])
     places = np.flatnonzero(begins)
@@ -97,10 +104,7 @@ def _narrow(array: np.ndarray, words: np.ndarray, ends: np.ndarray, low: np.ndar
 
 
 def matches(words: np.ndarray, ends: np.ndarray, queries: Queries, depth: int) -> tuple[np.ndarray, ...]:
-    """Where windows occur, as place, words and query suffix of each occurrence, and the longest match at each place.
-
-    A longest match is looked for up to the length of a window; longer ones show as windows that overlap.
-    """
+    """Matches of a window or more that cannot be extended, as place, words and query suffix, and the longest match at each place."""
     array = _suffixes(words, ends, queries, depth)
     longest = np.zeros(len(words), np.int64)
     active = np.arange(len(queries.hashes))
@@ -124,7 +128,16 @@ def matches(words: np.ndarray, ends: np.ndarray, queries: Queries, depth: int) -
             sizes.append(np.full(counts.sum(), d + 1))
             sources.append(np.repeat(active[done], counts))
     empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else empty for x in (places, sizes, sources)) + (longest,)
+    places, sizes, sources = (np.concatenate(x) if x else empty for x in (places, sizes, sources))
+    order = np.lexsort((places, places - sources))
+    places, sizes, sources = places[order], sizes[order], sources[order]
+    # A window one word on in the same text and the same item continues a match; an item shorter than a window has no other.
+    joins = (np.diff(places) == 1) & (np.diff(sources) == 1) & (np.diff(ends[places]) == 0) & (np.diff(queries.ends[sources]) == 0)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(places)), bool), ~joins]))
+    steps = np.diff(np.append(first, len(places)))
+    lengths = sizes[first] + steps - 1
+    np.maximum.at(longest, places, np.repeat(lengths + places[first], steps) - places)
+    return places[first], lengths, sources[first], longest
 
 
 def _spans(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +151,8 @@ def _spans(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _in_block(data: np.ndarray, offsets: np.ndarray, queries: Queries, window: int) -> tuple[np.ndarray, ...]:
-    """For a block of texts: words and longest match of each, then text, start and end of each run of hit words, then text and
-    item of each item found."""
+    """For a block of texts: words and longest match of each, then text, start and end of each run of hit words, then text, item,
+    place in the item, place in the text and length of each match."""
     found = tb.Words(data, offsets, tb.ALPHANUMERIC)
     ends = np.repeat(found.first[1:], found.counts)
     places, sizes, sources, longest = matches(found.hashes, ends, queries, window)
@@ -150,8 +163,10 @@ def _in_block(data: np.ndarray, offsets: np.ndarray, queries: Queries, window: i
     starts, stops = _spans(places + of, sizes)  # a gap of one between texts, so that runs end with them
     at = np.searchsorted(found.first[:-1] + np.arange(len(most)), starts, side="right") - 1
     base = found.first[at] + at
-    pairs = np.unique(np.stack([of, queries.items[sources]], 1), axis=0)
-    return found.counts, most, at, starts - base, stops - base, pairs[:, 0], pairs[:, 1]
+    order = np.lexsort((queries.items[sources], places))  # places of one text are together
+    of, places, sources, sizes = of[order], places[order], sources[order], sizes[order]
+    found_in = (of, queries.items[sources], sources - queries.starts[sources], places - found.first[of], sizes)
+    return found.counts, most, at, starts - base, stops - base, *found_in
 
 
 def _lists(owners: np.ndarray, values: pa.Array, rows: int) -> pa.Array:
@@ -172,28 +187,29 @@ def _with_former(former: pa.Array, rows: int, at: np.ndarray, starts: np.ndarray
     return first // reach, first % reach, last - first // reach * reach, np.maximum(longest, former.field("longest").to_numpy())
 
 
-def _finder(queries: Queries, window: int) -> tuple[Callable[..., pa.Array], Callable[..., pa.Array]]:
-    ids = pa.array(queries.ids, pa.string())
-
+def _finder(shared: Broadcast, window: int) -> tuple[Callable[..., pa.Array], Callable[..., pa.Array]]:
     def found(text: pa.Array, former: pa.Array | None) -> pa.Array:
+        queries: Queries = shared.value
         data, offsets = tb.flat(text)
         rows = len(text)
-        parts = [tuple(np.zeros(0, np.int64) for _ in range(7))]
+        parts = [tuple(np.zeros(0, np.int64) for _ in range(10))]
         for i, j in tb.blocks(offsets):
             part = _in_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], queries, window)
-            parts.append((part[0], part[1], part[2] + i, part[3], part[4], part[5] + i, part[6]))
-        counts, longest, at, starts, stops, of, items = (np.concatenate(x) for x in zip(*parts))
-        known = ids.take(pa.array(items))
+            parts.append((*part[:2], part[2] + i, *part[3:5], part[5] + i, *part[6:]))
+        counts, longest, at, starts, stops, of, items, *places = (np.concatenate(x) for x in zip(*parts))
+        columns = [pa.array(queries.ids, pa.string()).take(pa.array(items)), *map(pa.array, places)]
+        matches = pa.StructArray.from_arrays(columns, _MATCH)
         if former is not None:
             at, starts, stops, longest = _with_former(former, rows, at, starts, stops, longest)
-            before = former.field("items")
+            before = former.field("matches")
             of = np.concatenate([np.repeat(np.arange(rows), np.diff(before.offsets.to_numpy())), of])
-            known = pa.concat_arrays([before.flatten(), known])
+            own = before.flatten()
+            columns = [pa.concat_arrays([own.field(name), matches.field(name)]) for name in _MATCH]
             order = np.argsort(of, kind="stable")
-            of, known = of[order], known.take(pa.array(order))
+            of, matches = of[order], pa.StructArray.from_arrays(columns, _MATCH).take(pa.array(order))
         spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(stops)], ["start", "end"])
-        columns = [pa.array(counts), _lists(at, spans, rows), pa.array(longest), _lists(of, known, rows)]
-        return pa.StructArray.from_arrays(columns, ["n_words", "spans", "longest", "items"])
+        columns = [pa.array(counts), _lists(at, spans, rows), pa.array(longest), _lists(of, matches, rows)]
+        return pa.StructArray.from_arrays(columns, ["n_words", "spans", "longest", "matches"])
 
     def first(text: pa.Array) -> pa.Array:
         return found(text, None)
@@ -205,17 +221,17 @@ def _finder(queries: Queries, window: int) -> tuple[Callable[..., pa.Array], Cal
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """The items, in blocks of bounded size."""
+    """The items, in blocks of bounded size; one empty block if there is none."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), whole(f"`{text_col}`").alias("text"))
-    ids, texts, size = [], [], 0
+    ids, texts, size, some = [], [], 0, False
     for item, text in items.toLocalIterator():
         if texts and size + len(text.encode()) > block_bytes:
             yield ids, texts
-            ids, texts, size = [], [], 0
+            ids, texts, size, some = [], [], 0, True
         ids.append(item)
         texts.append(text)
         size += len(text.encode())
-    if texts:
+    if texts or not some:
         yield ids, texts
 
 
@@ -229,21 +245,24 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
     into: str = "found",
 ) -> DataFrame:
-    """The input with a struct column: `n_words`, `spans` (maximal runs of hit words, as start and end), `longest` and `items`.
+    """The input with a struct column: `n_words`, `spans` (maximal runs of hit words, as start and end), `longest`, `matches` and `items`.
 
-    `items` are the identifiers of the items with occurring windows, as strings in their order; an item without an
-    identifier still hits words but is not listed, and one without words is never found. `longest` is the longest verbatim match in words, up to `window`. Texts
-    that are null or have no words are clean. An input column called `into` is replaced.
+    `matches` are all verbatim matches of a window or more that cannot be extended: the item, the word of it where the match
+    begins, the word of the text where it begins and its length in words. `items` are the identifiers of their items, as
+    strings in their order; an item without an identifier is in `matches` and hits words but is not in `items`, and one without words is
+    never found. `longest` is the longest verbatim match in words, of two words or more, or a window if that is shorter. Texts that
+    are null or have no words are clean. An input column called `into` is replaced.
     """
     text = whole(f"`{text_col}`")
     found = None
-    for ids, texts in [*_blocks(benchmark, item_col, benchmark_text, block_bytes)] or [([], [])]:
-        first, later = _finder(Queries.of(texts, ids, window), window)
+    context = df.sparkSession.sparkContext
+    for ids, texts in _blocks(benchmark, item_col, benchmark_text, block_bytes):
+        first, later = _finder(context.broadcast(Queries.of(texts, ids, window)), window)
         if found is None:
             df, found = df.withColumn(into, F.arrow_udf(first, _FOUND)(text)), F.col(f"`{into}`")
         else:
             df = df.withColumn(into, F.arrow_udf(later, _FOUND)(text, found))
-    items = F.array_sort(F.array_distinct(F.filter(found["items"], lambda i: i.isNotNull())))
+    items = F.array_sort(F.array_distinct(F.filter(found["matches"]["item"], lambda i: i.isNotNull())))
     return df.withColumn(into, found.withField("items", items))
 
 
