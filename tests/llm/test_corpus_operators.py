@@ -271,3 +271,21 @@ def test_exact_duplicates_of_any_column_names(spark):
     got = exact_duplicates.drop_exact_duplicates(df, any_names=True)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == [(1, "a  b", "x", 7, "h"), (3, "c", None, 9, "j")]
+
+
+def test_a_passage_in_most_documents_over_several_batches(spark):
+    """Copies of one passage make most pieces of a key, and each task gets several batches."""
+    import random
+
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdef gh") for _ in range(1400))
+    own = lambda n: "".join(rng.choice("klmnop qr") for _ in range(n))
+    rows = [(i, own(rng.randint(0, 300)) + passage + own(rng.randint(0, 300))) for i in range(60)]
+    rows += [(100 + i, passage[:700] + own(500)) for i in range(20)] + [(200 + i, own(700)) for i in range(20)]
+    former = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = repeated_passages.without_repeats(documents(spark, rows).repartition(2), group=16).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", former)
+    assert Counter((r[0], bytes(r[1]), tuple(map(tuple, r[2]))) for r in got) == repeats(rows)

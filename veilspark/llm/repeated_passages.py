@@ -265,12 +265,16 @@ def _removing(text: pa.Array, marks: pa.Array) -> pa.Array:
 
 
 def _classes(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows of pieces whose class has several members, and one piece of each class of a key with several classes."""
+    """Windows of pieces whose class has several members, and one piece of each class of a key with several classes.
+
+    Equal pieces are counted before they are shuffled. Both tables that pieces and classes are joined with are written before, so that
+    adaptive execution can split a class that much of the corpus shares, and a key that many classes do.
+    """
     members = ["owner", "start", "windows", "reach", "cell", "width"]
     classes = pieces.groupBy("key", "content").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(*members)).alias("one"))
     classes = written(classes, "classes")
     same = pieces.join(classes.where("size > 1").select("key", "content"), ["key", "content"]).select("owner", "start", "windows")
-    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "keys")
     return same, classes.join(several, "key").select("key", "classes", "one.*")
 
 
@@ -290,10 +294,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, group: int = GRO
     listed = texts.where(F.octet_length("text") >= LENGTH)
     found = listed.select("owner", F.inline(F.arrow_udf(_pieces, f"array<{_PIECE}>")("text")))
     found = written(found, "pieces")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    pieces = written(found.join(often, "key", "left_semi"), "repeated-pieces")
-
-    same, differing = _classes(pieces)
+    same, differing = _classes(found)
     marks = [same]
     rows = written(_with_bytes(differing, texts), "piece-bytes")
     while True:
