@@ -1,7 +1,10 @@
 import datetime
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
 
+from veilspark.functions import recognizers as R
+from veilspark.operators import reports, text
 from veilspark.plans import fixtures as fx
 
 
@@ -30,3 +33,21 @@ def test_text_stream_reads_a_folder_of_part_files(spark, tmp_path):
     docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id: r.anonymized_text for r in entry.queries()["stream_anonymize"](spark, str(tmp_path)).collect()}
     assert found == {1: "mail <EMAIL_ADDRESS>", 2: "", 3: None}
+
+
+def test_recognizers_search_a_text_once(spark):
+    """Settling overlaps uses what was found instead of searching again."""
+    df = spark.createDataFrame([("mail a@b.co",)], "text string")
+    plan = text.analyze(df, registry=(R.EMAIL, R.CUSTOMER_ID)).select("entities")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    assert "RLIKE" not in plan
+
+
+def test_leak_index_tells_numbered_values_apart(spark):
+    """Values that differ in a few digits only: each is found once, and the index does not lead a text to all of them."""
+    values = spark.createDataFrame([(f"customer#{k:06d}",) for k in range(2000)] + [("ab123",), ("abcd",), (None,)], "v string")
+    rows = [(1, "xCUSTOMER#000123y 000124 customer#"), (2, "AB123"), (3, "000125 000126"), (4, None), (None, "customer#001999")]
+    got = reports.corpus_leaks(spark.createDataFrame(rows, "id int, text string"), "id", "text", values, "v").collect()
+    assert sorted((str(r.id), r.value) for r in got) == [("1", "customer#000123"), ("2", "ab123"), ("None", "customer#001999")]
+    index = reports._rarest_grams(values.select(F.col("v").alias("value")).where("length(v) >= 5"), 5)
+    assert index.groupBy("gram").count().agg(F.max("count")).first()[0] == 1
