@@ -10,6 +10,7 @@ from veilspark.functions import recognizers
 from veilspark.functions.recognizers import DEFAULT_REGISTRY, Recognizer
 from veilspark.operators import egress
 from veilspark.operators.rows import one_row_each
+from veilspark.sources.storage import shared_folder
 
 
 def entity_profile(analyzed: DataFrame, doc_col: str, *by: str) -> DataFrame:
@@ -114,16 +115,30 @@ def frequency_leakage(plain: DataFrame, masked: DataFrame, column: str) -> DataF
     )
 
 
-def _grams(text: Column, size: int) -> Column:
+#: A value is indexed by a run of up to this many times the least length, so that longer values are told apart by more than a few digits.
+_LONGEST_RUN = 8
+#: Codes of index runs that may be sent to every task, whatever the number of values.
+_CODES = 2**23
+
+
+def _grams(text: Column, size: Column) -> Column:
     """Distinct runs of ``size`` code points. The lookahead matches at every place, so each run is cut once from where it starts."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)), lambda g: F.length(g) == size))
+    every = F.regexp_extract_all(text, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
+    return F.array_distinct(F.filter(every, lambda g: F.length(g) == size))
 
 
-def _rarest_grams(sought: DataFrame, size: int) -> DataFrame:
-    """Each value with the run of it that fewest values hold."""
-    grams = sought.select("value", F.explode(_grams(F.col("value"), size)).alias("gram"))
+def _rarest_grams(sought: DataFrame, minimum: int) -> DataFrame:
+    """Each value with the size of the runs it is indexed by, and the run of that size that fewest values hold."""
+    sizes = [minimum << k for k in range(_LONGEST_RUN.bit_length())]
+    fitting = F.array_max(F.filter(F.array(*map(F.lit, sizes)), lambda z: z <= F.length("value")))
+    sized = sought.withColumn("size", fitting)
+    grams = sized.select("value", "size", F.explode(_grams(F.col("value"), F.col("size"))).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return grams.join(shared, "gram").groupBy("value").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return grams.join(shared, "gram").groupBy("value", "size").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+
+
+def _gram_code() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(_CODES))
 
 
 def corpus_leaks(
@@ -131,20 +146,31 @@ def corpus_leaks(
 ) -> DataFrame:
     """Sensitive values that occur in any text, inside words too: ``(key, value)`` rows, values in lower case.
 
-    The same rule as the leak check of single rows: a substring, whatever the case, of at least ``minimum`` characters. Every value
-    that long holds a run of ``minimum`` characters, so the index keeps it under the run that fewest values share; the distinct runs
-    of each text meet the index in one equi-join, and only what met is compared as a whole. No text is compared with every value. Spark
-    broadcasts a small side of either join, and adaptive execution splits runs that are in very many texts.
+    The same rule as the leak check of single rows: a substring, whatever the case, of at least ``minimum`` characters. The index keeps
+    each value under the run of its characters that fewest values share. Runs have one of four sizes, the longest that fits, so that
+    many values of the same kind do not crowd under the same few digits. The distinct runs of each text first meet the codes of the
+    indexed runs, a table of at most ``_CODES`` numbers that every task holds; only what is left meets the index in one equi-join, and
+    only what met there is compared as a whole. No text is compared with every value. The index is written on the way.
 
     A value is given once for each text, and for each of several texts with the same key. Null texts, values and keys: a null text or
     value leaks nothing; texts with a null key are searched.
     """
     if minimum < 1:
         raise ValueError("a value must have at least one character")
+    spark = texts.sparkSession
     lowered = F.lower(F.col(value_col).cast("string"))
     sought = values.select(lowered.alias("value")).where(F.length("value") >= minimum).distinct()
-    index = _rarest_grams(sought, minimum)
-    met = texts.select(F.col(key).alias("_key"), F.explode(_grams(F.lower(text_col), minimum)).alias("gram")).join(index, "gram")
+    path = shared_folder(spark, "leak-index")
+    rarest = _rarest_grams(sought, minimum)
+    rarest.write.parquet(path)
+    index = spark.read.schema(rarest.schema).parquet(path)
+    codes = index.select(_gram_code().alias("_code")).distinct()
+    sizes = index.agg(F.collect_set("size")).scalar()  # at most four
+    own = texts.select(F.col(key).alias("_key"), F.lower(text_col).alias("_text"), sizes.alias("_sizes"))
+    runs = F.flatten(F.transform("_sizes", lambda size: _grams(F.col("_text"), size)))
+    held = own.select("_key", F.explode(runs).alias("gram"))
+    likely = held.join(F.broadcast(codes), _gram_code() == F.col("_code"), "left_semi")
+    met = likely.join(index.select("gram", "value"), "gram")
     candidates = met.groupBy("_key").agg(F.collect_set("value").alias("_values"))
     searched = texts.select(F.col(key), F.lower(text_col).alias("_text"))
     joined = searched.join(candidates, searched[key].eqNullSafe(candidates["_key"]))
