@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -210,3 +211,38 @@ def test_text_domain(spark, ring, config):
     assert sorted(r.value for r in table) == sorted(r.masked for r in table) == sorted({w for w in words if w is not None})
     assert sum(r.value == r.masked for r in table) < 10
     assert masking.value_permutation(spark.createDataFrame([], "w string"), "w", ring, config).count() == 0
+
+
+def _sealed(spark, ring, config, values, spoil):
+    """Rows of tokens, each with what :func:`crypto.decrypt` gives for it alone."""
+    rows = spark.createDataFrame([(values,)], "v array<string>").withColumn("k", ring.keys("v1"))
+    made = F.transform("v", lambda v: crypto.encrypt(v, F.lit("note"), F.lit("v1"), F.col("k"), config.domain))
+    return rows.select("k", F.transform(made, spoil).alias("t"))
+
+
+@pytest.mark.parametrize("bad", (None, 0, 20, 39))
+@pytest.mark.parametrize("change", ("short", "other"))
+def test_tokens_opened_together_are_those_opened_alone(spark, ring, config, bad, change):
+    values = [None if i % 7 == 3 else "x" * i for i in range(40)]
+
+    def spoil(token, i):
+        end = F.left(token, F.length(token) - 8) if change == "short" else F.concat(F.left(token, F.length(token) - 8), F.lit("AAAAAAA="))
+        return token if bad is None else F.when(i == bad, end).otherwise(token)
+
+    rows = _sealed(spark, ring, config, values, spoil)
+    field, version = F.lit("note").alias("field"), F.lit("v1").alias("version")
+    sealed = F.transform("t", lambda t: F.struct(crypto.token_bytes(t).alias("raw"), field, version))
+    together = crypto.decrypt_all(sealed, F.col("k"), config.domain)
+    alone = F.transform("t", lambda t: crypto.decrypt(t, field, version, F.col("k"), config.domain))
+    row = rows.select(together.alias("together"), alone.alias("alone")).first()
+    assert row["together"] == row["alone"]
+    assert row["together"] == [None if i == bad else v for i, v in enumerate(values)]
+
+
+def test_masking_is_no_oversized_method(make, ring, config, capsys):
+    """The JVM compiles methods of up to 8,000 bytes and interprets longer ones for each row."""
+    masked = masking.mask_transactions(make(), ring, config)
+    for df in (masked, masking.unmask_transactions(masked, ring, config)):
+        df.explain("codegen")
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+        assert all(int(size) < 8000 for size in sizes)

@@ -109,56 +109,74 @@ def mask_text(text: Column, replacements: Column, version: str, keys: Column, do
 
 
 def open_text(text: Column, keys_by_version: Column, domain: str) -> Column:
-    """``struct<plain, problem>`` of a text with tokens.
+    """``struct<plain, problem>`` of a text with tokens, as :func:`open_texts`."""
+    return F.get(open_texts(F.array(text), keys_by_version, domain), F.lit(0))
+
+
+def open_texts(texts: Column, keys_by_version: Column, domain: str) -> Column:
+    """``array<struct<plain, problem>>`` of texts with tokens.
 
     ``problem`` is null on success, else it says that there is no token or names the first field that
-    did not decrypt. Each token is opened with the key of the version written in it.
+    did not decrypt. Each token is opened with the key of the version written in it, and all tokens of one version together.
     """
 
-    def rebuilt(parts: Column) -> Column:
-        missing = F.filter(parts["opened"], lambda o: o["plain"].isNull())
-        joined = F.concat(
-            F.array_join(
-                F.zip_with(
-                    F.slice(parts["gaps"], 1, F.size(parts["opened"])),
-                    parts["opened"],
-                    lambda gap, o: F.concat(gap, o["plain"]),
-                ),
-                "",
-            ),
-            F.element_at(parts["gaps"], -1),
+    def cut(text: Column) -> Column:
+        found = F.coalesce(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)), F.array().cast("array<string>"))
+        return F.struct(
+            F.split(text, TOKEN_PATTERN, -1).alias("gaps"), F.transform(found, _parts).alias("tokens"), text.alias("text")
         )
-        return F.when(
-            F.size(missing) > 0,
-            F.struct(
+
+    def opened(cuts: Column) -> Column:
+        every = F.flatten(F.transform(cuts, lambda c: c["tokens"]))
+        return bind(every, lambda tokens: bind(_open_parts(tokens, keys_by_version, domain), lambda plains: rebuilt(cuts, plains)))
+
+    def rebuilt(cuts: Column, plains: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(cuts, 1, i), F.lit(0), lambda n, earlier: n + F.size(earlier["tokens"]))
+            size = F.size(c["tokens"])
+            none = F.struct(
                 F.lit(None).cast("string").alias("plain"),
-                F.concat(
-                    F.lit("Failed to decrypt token for field '"), missing[0]["field"], F.lit("'")
-                ).alias("problem"),
-            ),
-        ).otherwise(F.struct(joined.alias("plain"), F.lit(None).cast("string").alias("problem")))
-
-    def opened(token: Column) -> Column:
-        # "[[ENC", version, field, cipher and "]]": a plain split, as the pattern has matched already
-        return bind(F.split(token, r"\|"), lambda p: bind(
-            F.struct(
-                p[1].alias("version"),
-                p[2].alias("field"),
-                crypto.decode(F.left(p[3], F.length(p[3]) - 2)).alias("raw"),
-                F.try_element_at(keys_by_version, p[1]).alias("keys"),
-            ),
-            lambda t: F.struct(
-                t["field"].alias("field"),
-                crypto.decrypt_bytes(t["raw"], t["field"], t["version"], t["keys"], domain).alias("plain"),
-            ),
-        ))
-
-    gaps = F.split(text, TOKEN_PATTERN, -1)
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    parts = F.struct(gaps.alias("gaps"), F.transform(tokens, opened).alias("opened"))
-    none = F.struct(
-        F.lit(None).cast("string").alias("plain"),
-        F.when(text.isNotNull(), "No ENC tokens found in text").alias("problem"),
+                F.when(c["text"].isNotNull(), "No ENC tokens found in text").alias("problem"),
+            )
+            own = F.slice(plains, before + 1, size)
+            return F.when(size > 0, bind(own, lambda values: _filled(c["gaps"], c["tokens"], values))).otherwise(none)
+
+        return F.transform(cuts, one)
+
+    return bind(F.transform(texts, cut), opened)
+
+
+def _parts(token: Column) -> Column:
+    """``struct<version, field, raw>``: the pattern has matched, so a plain split does."""
+    return bind(F.split(token, r"\|"), lambda p: F.struct(
+        p[1].alias("version"),
+        p[2].alias("field"),
+        crypto.decode(F.left(p[3], F.length(p[3]) - 2)).alias("raw"),
+    ))
+
+
+def _open_parts(tokens: Column, keys_by_version: Column, domain: str) -> Column:
+    """Plain values of tokens of any versions."""
+
+    def of_version(some: Column, version: Column) -> Column:
+        return bind(F.try_element_at(keys_by_version, version), lambda keys: crypto.decrypt_all(some, keys, domain))
+
+    one = F.size(F.array_distinct(F.transform(tokens, lambda t: t["version"]))) == 1
+    return F.when(one, of_version(tokens, F.get(tokens, F.lit(0))["version"])).otherwise(
+        F.flatten(F.transform(tokens, lambda t: of_version(F.array(t), t["version"])))
     )
-    return F.when(text.rlike(TOKEN_PATTERN), bind(parts, rebuilt)).otherwise(none)
 
+
+def _filled(gaps: Column, tokens: Column, plains: Column) -> Column:
+    """``struct<plain, problem>``: the text with its plain values, or the first field that did not open."""
+    failed = F.get(F.filter(tokens, lambda _, i: F.get(plains, i).isNull()), F.lit(0))
+    joined = F.concat(
+        F.array_join(
+            F.zip_with(F.slice(gaps, 1, F.size(plains)), plains, lambda gap, plain: F.concat(gap, plain)), ""
+        ),
+        F.element_at(gaps, -1),
+    )
+    return bind(failed, lambda bad: F.struct(
+        F.when(bad.isNull(), joined).alias("plain"),
+        F.when(bad.isNotNull(), F.concat(F.lit("Failed to decrypt token for field '"), bad["field"], F.lit("'"))).alias("problem"),
+    ))

@@ -111,15 +111,17 @@ def unmask(
     config.require_unmask()
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
-    encrypted = [n for n in df.columns if getattr(policy.columns.get(n), "kind", "") == "encrypt"]
     keyed = df.withColumn("_keys", F.try_element_at(keyring.keys_by_version(), F.col(VERSION)))
-    # Open first and verify in a second projection, so that each value is decrypted once.
-    opened = keyed.withColumns(
-        {f"_open_{n}": crypto.decrypt_unverified(F.col(n), F.col("_keys")) for n in encrypted}
-    )
+    encrypted = [n for n in df.columns if getattr(policy.columns.get(n), "kind", "") == "encrypt"]
+    if encrypted:
+        sealed = [
+            F.struct(crypto.token_bytes(F.col(n)).alias("raw"), F.lit(n).alias("field"), F.col(VERSION).alias("version"))
+            for n in encrypted
+        ]
+        keyed = keyed.withColumn("_plain", crypto.decrypt_all(F.array(*sealed), F.col("_keys"), config.domain))
     orders = _inverse_orders(df, policy, keyring, config)
     if orders is not None:
-        opened = opened.withColumn("_order", F.try_element_at(orders, F.col(VERSION)))
+        keyed = keyed.withColumn("_order", F.try_element_at(orders, F.col(VERSION)))
     out = []
     for name in df.columns:
         value, strategy = F.col(name), policy.columns.get(name)
@@ -129,9 +131,7 @@ def unmask(
             out.append(value)
             continue
         if strategy.kind == "encrypt":
-            plain = crypto.verified(
-                F.col(f"_open_{name}"), F.lit(name), F.col(VERSION), F.col("_keys"), config.domain
-            )
+            plain = F.get("_plain", F.lit(encrypted.index(name)))
             if on_error == "fail":
                 message = F.lit(f"cannot decrypt {name}")
                 plain = crypto.fail_unless(value.isNull() | plain.isNotNull(), plain, message)
@@ -144,7 +144,7 @@ def unmask(
             if on_error == "fail":
                 plain = _in_domain(value, plain, name)
         out.append(_keep_class(df, name, plain))
-    return opened.select(*out)
+    return keyed.select(*out)
 
 
 def _inverse_orders(
@@ -188,10 +188,9 @@ def masked_literal(
     It is computed on one row up front, so that the filter is a literal the file scan can push down.
     """
     plain = keyring.spark.createDataFrame([(value,)], "value string")
-    row = plain.select(
+    row = plain.withColumn("_keys", keyring.keys(config.mask_version)).select(
         crypto.encrypt(
-            F.col("value"), F.lit(field), F.lit(config.mask_version),
-            keyring.keys(config.mask_version), config.domain,
+            F.col("value"), F.lit(field), F.lit(config.mask_version), F.col("_keys"), config.domain
         ).alias("token")
     )
     return row.first()["token"]
