@@ -81,3 +81,39 @@ def test_trie_finds_exactly_its_phrases():
         assert found.tolist() == [places.get(p, -1) for p in asked]
         cells = trie.base.copy()
         assert len(cells) == len(trie.check) == len(trie.accept)
+
+
+def test_levels_without_tries_propose_numbers_of_frequent_parts_only(spark, monkeypatch):
+    """Words fit the bound and pairs do not: phrases of three words go out as numbers, and only if both pairs in them are frequent."""
+    rng, plain, proposed = random.Random(7), [], []
+    rows = [(" ".join(f"w{int(41 * rng.random() ** 3)}" for _ in range(60)) + " in the end", "en") for _ in range(60)]
+    make, advance = co._proposing, co._advancing
+    monkeypatch.setattr(co, "_proposing", lambda words: plain.append(words) or make(words))
+    monkeypatch.setattr(co, "_advancing", lambda *way: proposed.append(way) or advance(*way))
+    texts = spark.createDataFrame([(t.encode(), lang) for t, lang in rows], "text binary, lang string").repartition(5)
+    levels, _ = co.phrase_counts(texts, 6, 3, limit=1_000)
+    assert [level.count() for level in levels] == [sum(n >= 6 for n in _counted(rows, k).values()) for k in (1, 2, 3)]
+    assert plain == [1] and len(proposed[-1]) == 3
+    sent = sum(b.num_rows for b in _sent_rows(texts, co._advancing(*proposed[-1])))
+    assert 0 < sent < len(_counted(rows, 3)) / 2
+
+
+def _counted(rows, words):
+    counts = Counter()
+    for text, _ in rows:
+        own = text.split()
+        counts.update(zip(*(own[j:] for j in range(words))))
+    return counts
+
+
+def _sent_rows(texts, advance):
+    batch = texts.toArrow().combine_chunks().to_batches()
+    return list(advance(iter(batch)))
+
+
+def test_the_last_level_is_not_counted_again(spark, monkeypatch):
+    levels, advance = [], co._advancing
+    monkeypatch.setattr(co, "_advancing", lambda words, *way: levels.append(words) or advance(words, *way))
+    df = spark.createDataFrame([("a b c d", "en")] * 20, "text string, lang string")
+    assert {r.phrase: r.a for r in co.collocations(df).collect()} == {"a b c": 20, "b c d": 20}
+    assert levels == [1, 2]

@@ -5,12 +5,14 @@ and if what the tasks have seen of it adds up to the least frequency.
 
 1. The candidates of a level are packed into double-array tries, some ten thousand phrases each, built in tasks.
 2. The tries go to all tasks if their phrases stay below a bound in bytes. All words of a block of text start in the root at once; each
-   step moves all of them by one byte, and drops those without a child. Accepting states are counted with bincount, and the counts of
-   all tasks are summed.
-3. Where two accepted phrases overlap in all but one word each, the task proposes their union for the next level.
-
-Proposals travel as the numbers of their halves. Where a level's candidates exceed the bound, no trie is sent: tasks propose every
-phrase of the next level, and the sums of what they propose are the counts. The results are the same.
+   step moves all of them by one byte, and drops those without a child. The first word of a phrase is walked once for each distinct word.
+3. Where two accepted phrases overlap in all but one word each, the task proposes their union for the next level. Every place of a
+   frequent phrase is proposed, so the sums over all tasks are its counts, and no level is counted again.
+
+Proposals travel as the numbers of their halves. Where a level's candidates exceed the bound, its phrases are told by a bit map of
+bounded size and the numbers of their words from the tries of the first level; a proposal is the numbers of its words. Only where the
+words themselves exceed the bound, or their numbers no longer fit one code, tasks propose every phrase of the next level. The results
+are the same.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ LEAST, LONGEST, TOP, PERCENT, SCALE = 10, 3, 2000, 50, 1_000_000
 #: Bytes of the phrases whose tries may be sent to the tasks at a time, and phrases of one trie.
 TRIE_BYTES, TRIE_PHRASES = 16_000_000, 40_000
 
+#: Bits of the map that tells the phrases of a level without tries, and of one of its parts.
+MAP_BITS, MAP_PART = 27, 16
+
 #: Phrases that a task holds before it hands them on, and places of proposals.
 HELD, HELD_PLACES = 200_000, 1_500_000
 
@@ -120,12 +125,39 @@ class Trie:
 
     def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each byte range its phrase's number, or -1."""
+        return self._walked(data, starts, ends, starts, np.zeros(len(starts), np.int64))
+
+    def match_phrases(self, block: _Block, first: np.ndarray, words: int) -> np.ndarray:
+        """For the phrases of so many words at the words `first` their numbers, or -1."""
+        heads = np.diff(block.own_starts)
+        if words == 1:
+            return self.match(block.own, block.own_starts[:-1], block.own_starts[1:] - 1)[block.own_word[first]]
+        states = self._reached(block.own, block.own_starts)[block.own_word[first]]
+        starts, ends = block.starts[first], block.starts[first + words] - 1
+        return self._walked(block.data, starts, ends, starts + heads[block.own_word[first]], states)
+
+    def _reached(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The state behind each of the texts of `data`, or -1."""
+        out = np.full(len(offsets) - 1, -1, np.int64)
+        active = np.flatnonzero(np.diff(offsets) <= DEEPEST)
+        at, end, state = offsets[active], offsets[active + 1], np.zeros(len(active), np.int64)
+        while len(active):
+            following = self.base[state] + data[at].astype(np.int64)
+            moved = self.check[following] == state
+            active, at, end, state = active[moved], at[moved] + 1, end[moved], following[moved]
+            done = at == end
+            out[active[done]] = state[done]
+            active, at, end, state = active[~done], at[~done], end[~done], state[~done]
+        return out
+
+    def _walked(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Numbers of the byte ranges, of which the part before `at` has led to `state`."""
         out = np.full(len(starts), -1, np.int64)
         if self.long:
             for i in np.flatnonzero(ends - starts > DEEPEST):
                 out[i] = self.long.get(data[starts[i] : ends[i]].tobytes(), -1)
-        active = np.flatnonzero(ends - starts <= DEEPEST)
-        at, end, state = starts[active], ends[active], np.zeros(len(active), np.int64)
+        active = np.flatnonzero((ends - starts <= DEEPEST) & (state >= 0))
+        at, end, state = at[active], ends[active], state[active]
         while len(active):
             following = self.base[state] + data[at].astype(np.int64)
             moved = self.check[following] == state
@@ -153,6 +185,11 @@ class _Block:
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])
         pieces = np.cumsum(_BREAKS[data]) + np.cumsum(edge)[:-1]
         self.joined = pieces[starts[1:]] == pieces[starts[:-1]]
+        # The distinct words, each with its space, and which of them stands at each place.
+        buffers = [None, pa.py_buffer(self.starts.astype(np.int32)), pa.py_buffer(self.data)]
+        coded = pa.Array.from_buffers(pa.binary(), len(sizes), buffers).dictionary_encode()
+        self.own, self.own_starts = tb.flat(coded.dictionary)
+        self.own_word = coded.indices.to_numpy(zero_copy_only=False)
 
     def phrases(self, words: int) -> np.ndarray:
         """First words of all phrases of so many words."""
@@ -198,10 +235,10 @@ def _proposing(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return propose
 
 
-def _numbered(langs: int, lang: int, proposed: bool, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows of a number and a count. One code holds number, language and kind: numbers of proposals stay below the square of a
-    language's candidates, which the bound on the tries keeps far below what a code can hold."""
-    code = (numbers.astype(np.int64) * langs + lang) * 2 + int(proposed)
+def _numbered(langs: int, lang: int, numbers: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of a number and a count. One code holds number and language: numbers of proposals stay below the square of a language's
+    candidates, which the bound on the tries keeps far below what a code can hold, or are known to fit."""
+    code = numbers.astype(np.int64) * langs + lang
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
 
@@ -213,68 +250,99 @@ class _Tries:
         self.tries = {lang: [_unpacked(*row[1:]) for row in rows if row[0] == lang] for lang in self.langs}
         self.phrases = {lang: [p for t in own for p in t.phrases] for lang, own in self.tries.items()}
 
+    def numbers(self, lang: str, block: _Block, words: int) -> np.ndarray:
+        """For each word of a block the number of the phrase of so many words that starts there, or -1."""
+        first = block.phrases(words)
+        number, before = np.full(len(block.starts), -1, np.int64), 0
+        for trie in self.tries[lang]:
+            found = trie.match_phrases(block, first, words)
+            number[first[found >= 0]] = found[found >= 0] + before
+            before += len(trie.phrases)
+        return number
+
+
+def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each code in a bit map."""
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _advancing(words: int, sent: Callable[[], _Tries], told: Callable[[], np.ndarray] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Proposals of one word more than `words`, by the numbers of both halves; with a bit map of the phrases, by the numbers of the words."""
 
-def _advancing(words: int, sent: Callable[[], _Tries], proposing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of candidates of so many words by number, and proposals of one word more by the numbers of both halves."""
-        own = sent()
+        own, bits = sent(), told() if told else None
         index = {lang: i for i, lang in enumerate(own.langs)}
-        sizes = [len(own.phrases[lang]) for lang in own.langs]
-        counts = [np.zeros(size, np.int64) for size in sizes]
-        places: list[list[np.ndarray]] = [[] for _ in sizes]
+        places: list[list[np.ndarray]] = [[] for _ in index]
+        held = 0
 
         def proposals() -> Iterator[pa.RecordBatch]:
             for i, found in enumerate(places):
                 if found:
-                    yield _numbered(len(sizes), i, True, *np.unique(np.concatenate(found), return_counts=True))
+                    yield _numbered(len(places), i, *np.unique(np.concatenate(found), return_counts=True))
                     found.clear()
 
+        def of_halves(lang: str, block: _Block) -> np.ndarray:
+            number, longer = own.numbers(lang, block, words), block.phrases(words + 1)
+            one, other = number[longer], number[longer + 1]
+            both = (one >= 0) & (other >= 0)
+            return one[both] * len(own.phrases[lang]) + other[both]
+
+        def of_words(lang: str, block: _Block) -> np.ndarray:
+            number, size = own.numbers(lang, block, 1), len(own.phrases[lang])
+            longer = block.phrases(words + 1)
+            for j in range(words + 1):
+                longer = longer[number[longer + j] >= 0]
+
+            def code(first: np.ndarray, count: int) -> np.ndarray:
+                out = np.zeros(len(first), np.int64)
+                for j in range(count):
+                    out = out * size + number[first + j]
+                return out
+
+            for at in (0, 1):
+                slots = _slots(code(longer + at, words) * len(places) + index[lang], MAP_BITS)
+                longer = longer[bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 > 0]
+            return code(longer, words + 1)
+
         for batch in batches:
             for lang, texts in _by_lang(batch):
                 if lang not in index:
                     continue
-                at_lang = index[lang]
                 data, offsets = tb.flat(texts)
                 for i, j in tb.blocks(offsets, _BLOCK):
                     block = _Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    first = block.phrases(words)
-                    number, before = np.full(len(block.starts), -1, np.int64), 0
-                    starts, ends = block.starts[first], block.starts[first + words] - 1
-                    for trie in own.tries[lang]:
-                        found = trie.match(block.data, starts, ends)
-                        number[first[found >= 0]] = found[found >= 0] + before
-                        before += len(trie.phrases)
-                    counts[at_lang] += np.bincount(number[number >= 0], minlength=before)
-                    if proposing:
-                        longer = block.phrases(words + 1)
-                        one, other = number[longer], number[longer + 1]
-                        both = (one >= 0) & (other >= 0)
-                        places[at_lang].append(one[both] * sizes[at_lang] + other[both])
-                        if sum(len(p) for found in places for p in found) > HELD_PLACES:
-                            yield from proposals()
+                    places[index[lang]].append((of_halves if told is None else of_words)(lang, block))
+                    held += len(places[index[lang]][-1])
+                    if held > HELD_PLACES:
+                        yield from proposals()
+                        held = 0
         yield from proposals()
-        for i, own_counts in enumerate(counts):
-            some = np.flatnonzero(own_counts)
-            yield _numbered(len(sizes), i, False, some, own_counts[some])
 
     return advance
 
 
-def _naming(sent: Callable[[], _Tries]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _naming(sent: Callable[[], _Tries], words: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases in place of their numbers; a proposal is the first half and the last word of the second."""
+        """Phrases beside their codes: the first half and the last word of the second, or with `words` so many numbered words."""
         own = sent()
         for batch in batches:
-            langs, kinds, phrases = [], [], []
+            langs, phrases = [], []
             for code in batch.column("code").to_pylist():
-                number, lang = divmod(code >> 1, len(own.langs))
+                number, lang = divmod(code, len(own.langs))
                 langs.append(own.langs[lang])
-                kinds.append(bool(code & 1))
                 known = own.phrases[own.langs[lang]]
-                one, other = divmod(number, len(known))
-                phrases.append(b"%b %b" % (known[one], known[other].rpartition(b" ")[2]) if code & 1 else known[number])
-            columns = [pa.array(langs, pa.string()), pa.array(kinds, pa.bool_()), pa.array(phrases, pa.binary()), batch.column("n")]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "proposed", "phrase", "n"])
+                if words:
+                    parts = []
+                    for _ in range(words):
+                        number, last = divmod(number, len(known))
+                        parts.append(known[last])
+                    phrases.append(b" ".join(reversed(parts)))
+                else:
+                    one, other = divmod(number, len(known))
+                    phrases.append(b"%b %b" % (known[one], known[other].rpartition(b" ")[2]))
+            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), batch.column("n"), batch.column("code")]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "code"])
 
     return name
 
@@ -294,8 +362,8 @@ def _unpacked(phrases: list[bytes], arrays: list[bytes]) -> Trie:
     return trie
 
 
-def _sent(candidates: DataFrame, limit: int) -> Callable[[], _Tries] | None:
-    """The candidates' tries, broadcast; None if the candidates have more than `limit` bytes."""
+def _sent(candidates: DataFrame, limit: int) -> tuple[Callable[[], _Tries], list[int]] | None:
+    """The candidates' tries, broadcast, and how many each language has; None if the candidates have more than `limit` bytes."""
     size, count = candidates.agg(F.sum(F.octet_length("phrase") + 8), F.count(F.lit(1))).first()
     if (size or 0) > limit:
         return None
@@ -304,7 +372,40 @@ def _sent(candidates: DataFrame, limit: int) -> Callable[[], _Tries] | None:
     rows = packed.applyInArrow(_packed, "lang string, phrases array<binary>, arrays array<binary>").collect()
     whole = [(r.lang, [bytes(p) for p in r.phrases], [bytes(a) for a in r.arrays]) for r in rows]
     shared = candidates.sparkSession.sparkContext.broadcast(whole)
-    return lambda: _Tries(shared.value)
+    sizes = Counter()
+    for lang, phrases, _ in whole:
+        sizes[lang] += len(phrases)
+    return lambda: _Tries(shared.value), list(sizes.values())
+
+
+def _fits(sizes: list[int], words: int) -> bool:
+    """Whether one code holds the language and the numbers of so many words."""
+    return max(sizes, default=0) ** words * len(sizes) < 1 << 63
+
+
+def _part_of_map(table: pa.Table) -> pa.Table:
+    """The part of a bit map with the slots of a group set."""
+    slots = table["slot"].to_numpy()
+    bits = np.zeros(1 << MAP_PART, np.uint8)
+    bits[slots & (1 << MAP_PART) - 1] = 1
+    return pa.table({"part": pa.array([int(slots[0]) >> MAP_PART], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(batch.column("code").to_numpy(), MAP_BITS)))], ["slot"])
+
+
+def _told(candidates: DataFrame) -> Callable[[], np.ndarray]:
+    """A bit map of the codes of the candidates, of bounded size, broadcast."""
+    slots = candidates.select("code").mapInArrow(_placing, "slot bigint").distinct()
+    parts = slots.groupBy(F.shiftright("slot", MAP_PART).alias("part")).applyInArrow(_part_of_map, "part int, bits binary").collect()
+    whole = np.zeros(1 << MAP_BITS - 3, np.uint8)
+    size = 1 << MAP_PART - 3
+    for row in parts:
+        whole[row.part * size : (row.part + 1) * size] = np.frombuffer(bytes(row.bits), np.uint8)
+    shared = candidates.sparkSession.sparkContext.broadcast(whole.tobytes())
+    return lambda: np.frombuffer(shared.value, np.uint8)
 
 
 def phrase_counts(texts: DataFrame, least: int, longest: int, limit: int = TRIE_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -315,22 +416,29 @@ def phrase_counts(texts: DataFrame, least: int, longest: int, limit: int = TRIE_
     def proposals(words: int) -> DataFrame:
         return texts.mapInArrow(_proposing(words), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
+    def advanced(named: Callable, *way) -> DataFrame:
+        counts = texts.mapInArrow(_advancing(*way), _NUMBERED).groupBy("code").agg(F.sum("n").alias("n"))
+        frequent = counts.where(F.col("n") >= least)
+        return frequent.mapInArrow(named, "lang string, phrase binary, n bigint, code bigint")
+
     seen = written(proposals(1), "words")
     totals = seen.groupBy("lang").agg(F.sum("n").alias("words"))
     candidates, levels = seen.where(F.col("n") >= least), []
+    by_words, coded = None, False
     for words in range(1, longest + 1):
         candidates = written(candidates, "candidates")
+        levels.append(candidates.select("lang", "phrase", "n"))
+        if words == longest:
+            break
         sent = _sent(candidates, limit)
-        if sent is None:
-            levels.append(candidates)
-            candidates = proposals(words + 1).where(F.col("n") >= least)
-            continue
-        counts = texts.mapInArrow(_advancing(words, sent, words < longest), _NUMBERED).groupBy("code")
-        counts = counts.agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        named = counts.mapInArrow(_naming(sent), "lang string, proposed boolean, phrase binary, n bigint")
-        named = written(named, "phrases")
-        levels.append(named.where(~F.col("proposed")).drop("proposed"))
-        candidates = named.where("proposed").drop("proposed")
+        if words == 1:
+            by_words = sent
+        if sent:
+            candidates, coded = advanced(_naming(sent[0]), words, sent[0]), words == 1
+        elif coded and _fits(by_words[1], words + 1):
+            candidates = advanced(_naming(by_words[0], words + 1), words, by_words[0], _told(candidates))
+        else:
+            candidates, coded = proposals(words + 1).where(F.col("n") >= least), False
     return levels, totals
 
 
