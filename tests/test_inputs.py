@@ -51,3 +51,14 @@ def test_leak_index_tells_numbered_values_apart(spark):
     assert sorted((str(r.id), r.value) for r in got) == [("1", "customer#000123"), ("2", "ab123"), ("None", "customer#001999")]
     index = reports._rarest_grams(values.select(F.col("v").alias("value")).where("length(v) >= 5"), 5)
     assert index.groupBy("gram").count().agg(F.max("count")).first()[0] == 1
+
+
+def _ciphers(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("aesencrypt") + df._jdf.queryExecution().executedPlan().toString().count("aesEncrypt")
+
+
+def test_both_sides_of_a_split_read_ciphers_made_once(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    split = entry.queries()["egress_split"](spark, str(tmp_path))
+    assert _ciphers(split) == 0
+    assert {r.outcome: (r.n, r.ids) for r in split.collect()} == {"passed": (30, 30), "quarantined": (10, 10)}

@@ -61,7 +61,11 @@ def egress_audit(spark, sf_dir):
     )
 )
 def egress_split(spark, sf_dir):
-    passed, quarantined = egress.guard(leaky(spark, sf_dir), "cloud", "split")
+    """Each side reads the masked rows, which are stored first and so encrypted once."""
+    path, rows = shared_folder(spark, "masked"), leaky(spark, sf_dir)
+    rows.write.parquet(path)
+    stored = schemas.with_schema_classes(spark.read.schema(rows.schema).parquet(path), schemas.MASKED_TRANSACTION)
+    passed, quarantined = egress.guard(stored, "cloud", "split")
     sides = [
         side.select(F.lit(name).alias("outcome"), "transaction_id")
         for name, side in (("passed", passed), ("quarantined", quarantined))
