@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from veilspark.functions import recognizers as R
-from veilspark.operators import reports, text
+from veilspark.operators import reports, text, vault
 from veilspark.plans import fixtures as fx
 
 
@@ -62,3 +62,12 @@ def test_both_sides_of_a_split_read_ciphers_made_once(spark, tmp_path):
     split = entry.queries()["egress_split"](spark, str(tmp_path))
     assert _ciphers(split) == 0
     assert {r.outcome: (r.n, r.ids) for r in split.collect()} == {"passed": (30, 30), "quarantined": (10, 10)}
+
+
+def test_a_repeated_vault_run_writes_ciphers_made_once(spark, tmp_path, monkeypatch):
+    tables(spark, str(tmp_path))
+    written, write = [], vault.write_vault
+    monkeypatch.setattr(vault, "write_vault", lambda rows, *rest: written.append(_ciphers(rows)) or write(rows, *rest))
+    found = entry.queries()["sink_vault"](spark, str(tmp_path)).first()
+    assert (found.n, found.ids, found.dates) == (40, 40, 1)
+    assert written == [0, 0]
