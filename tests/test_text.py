@@ -425,3 +425,23 @@ def test_repeats_by_dominance(spark):
         kept = {a for a in found if not any(
             b != a and b[0] == a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] for b in found)}
         assert sorted(map(tuple, row.k)) == sorted(kept)
+
+
+def test_dictionary_places_and_sentence_ends_are_looked_for_at_hits_only(spark):
+    names = spark.createDataFrame([("Ann Lee", "PERSON"), ("St. Louis", "LOCATION"), ("Doha", "LOCATION")], "phrase string, entity_type string")
+    value = "\ue123 é, Ann, Lee? Ann... Lee \U0001f600 Ann?’ Lee; Ann.x Lee ann.Lee st. LOUIS " + "St, Louis. - Doha " * 60
+    docs = spark.createDataFrame([(1, value), (2, "Doha"), (3, ""), (4, "...")], "id int, text string")
+    hits = text.dictionary_entities(docs, "id", "text", names)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(_text#" in plan and "regexp_extract(" not in plan[: plan.index("regexp_extract_all(_text#")]
+    assert text.WORD_PATTERN not in plan[plan.index("_hits#") : plan.index("regexp_extract_all(_text#") + 200]
+    got = {(h.id, h.start, h.end) for h in hits.collect()}
+    want = {(1, m.start(), m.end()) for m in re.finditer(r"Ann, Lee|ann\.Lee|st\. LOUIS|St, Louis|Doha", value)} | {(2, 0, 4)}
+    assert got == want and len(want) == 124
+
+
+@pytest.mark.parametrize("values", [[], [5], [3, 0, 4], list(range(23))])
+def test_sums_before_a_place(spark, values):
+    df = spark.createDataFrame([(values,)], "v array<int>").withColumn("s", sp.block_sums(F.col("v")))
+    found = df.select(F.transform(F.sequence(F.lit(0), F.lit(len(values))), lambda at: sp.sum_before(F.col("v"), F.col("s"), at)).alias("x"))
+    assert found.first().x == [sum(values[:at]) for at in range(len(values) + 1)]
