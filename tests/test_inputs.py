@@ -71,3 +71,19 @@ def test_a_repeated_vault_run_writes_ciphers_made_once(spark, tmp_path, monkeypa
     found = entry.queries()["sink_vault"](spark, str(tmp_path)).first()
     assert (found.n, found.ids, found.dates) == (40, 40, 1)
     assert written == [0, 0]
+
+
+def test_customers_are_made_once_and_not_for_each_order(spark, tmp_path):
+    """Customers without orders, keys without a customer and null keys are left out; rows that come twice count once."""
+    folder, day = str(tmp_path), datetime.date(2024, 3, 1)
+    tables(spark, folder)
+    orders = [(k, c, 1.0, day) for k, c in enumerate([1, 1, 1, 2, 2, 4, 9, None, None])]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date").write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    people = [(1, "Ann", 3, 1.0, "BUILDING"), (2, "Bo", 3, 1.0, "MACHINERY"), (2, "Bo", 3, 2.0, "MACHINERY"), (3, "Cy", 3, 1.0, "MACHINERY"), (4, "Di", 3, 1.0, None)]
+    spark.createDataFrame(people, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.mode("overwrite").parquet(
+        f"{folder}/customer.parquet"
+    )
+    for made, want in ((fx.customers(spark, folder), ["Ann", "Bo", "Di"]), (fx.profiles(spark, folder), ["Profile Bo"])):
+        assert sorted(r.full_name for r in made.collect()) == want
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [o_custkey" in plan and "RepartitionByExpression" not in plan
