@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
@@ -87,3 +88,35 @@ def test_customers_are_made_once_and_not_for_each_order(spark, tmp_path):
         assert sorted(r.full_name for r in made.collect()) == want
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [o_custkey" in plan and "RepartitionByExpression" not in plan
+
+
+def test_columns_are_searched_once_and_without_places(spark):
+    """What a column holds needs no spans, and the plan does not grow with the columns."""
+    rows = [("a@b.co", "card 4111 1111 1111 1111"), ("x", "4111 1111 1111 1112"), (None, "a@b.co +974 5512 3456"), ("", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    found = reports.column_discovery(df, None, (R.EMAIL, R.CREDIT_CARD, R.INTERNATIONAL_PHONE))
+    got = {(r.column, r.entity_type): (r.n, r["values"], r.share) for r in found.collect()}
+    assert got == {
+        ("a", "EMAIL_ADDRESS"): (1, 3, 1 / 3), ("b", "EMAIL_ADDRESS"): (1, 3, 1 / 3),
+        ("b", "CREDIT_CARD"): (1, 3, 1 / 3), ("b", "PHONE_NUMBER"): (1, 3, 1 / 3),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("LogicalRDD") == 1
+    assert reports.column_discovery(df, None, ()).collect() == []
+
+
+def test_types_of_columns_are_those_of_their_spans(spark):
+    """At thresholds below, between and above the scores with and without context."""
+    rnd = random.Random(5)
+    parts = ["email", "a@b.co", "card", "4111 1111 1111 1111", "4111111111111112", "id", "CUST-1234567", "+974 5512 3456", "call", "ſ@k.ıo", "x"]
+    values = [(None,), ("",)] + [(" ".join(rnd.choice(parts) for _ in range(rnd.randrange(9))),) for _ in range(150)]
+    df = spark.createDataFrame(values, "text string")
+    low = R.Recognizer("CUSTOMER_ID", r"\bCUST-\d+", 0.2, ("id",))
+    registry = (R.EMAIL, R.CREDIT_CARD, R.INTERNATIONAL_PHONE, low, R.Recognizer("EMAIL_ADDRESS", r"mail", 0.1))
+    for threshold in (0.0, 0.35, 0.5, 0.75, 1.0):
+        held = R.types_held(F.col("text"), registry, threshold)
+        spans = F.coalesce(R.recognize(F.col("text"), registry), F.array())
+        types = F.array_distinct(F.transform(F.filter(spans, lambda s: s["score"] >= threshold), lambda s: s["entity_type"]))
+        both = df.select(F.array_sort(types).alias("a"), F.array_compact(F.array(*[F.when(c, t) for t, c in sorted(held.items())])).alias("b"))
+        rows = both.collect()
+        assert all(r.a == r.b for r in rows) and (any(r.a for r in rows))

@@ -33,38 +33,25 @@ def column_discovery(
 ) -> DataFrame:
     """Share of the values of each string column that hold each entity type.
 
-    One pass without reshaping rows to one per value: each row yields the entity types per column,
-    and only those are exploded and counted.
+    Values become rows of ``(column, value)`` and are counted where they are read, so the tests of a value are compiled once, however
+    many columns there are, and a task passes on one row for each column. Places and contexts are worked out only for recognizers
+    whose score reaches the threshold by their context alone.
     """
-    registry = tuple(registry)
     names = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
-    found = [
-        F.struct(
-            F.lit(n).alias("column"),
-            F.array_distinct(
-                F.transform(
-                    F.coalesce(recognizers.recognize(F.col(n), registry), F.array()),
-                    lambda e: F.when(e["score"] >= threshold, e["entity_type"]),
-                )
-            ).alias("types"),
-            F.col(n).isNotNull().cast("int").alias("present"),
-        )
-        for n in names
-    ]
-    # A null type stands for the value itself, so that values are counted in the same pass.
-    cells = df.select(F.explode(F.array(*found)).alias("c")).where(F.col("c.present") == 1)
-    typed = cells.select(
-        F.col("c.column").alias("column"),
-        F.explode(
-            F.concat(F.array(F.lit("")), F.array_compact(F.col("c.types")))
-        ).alias("entity_type"),
+    value = F.col("c.value")
+    held = recognizers.types_held(value, registry, threshold)
+    cells = df.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in names])).alias("c")
+    ).where(value.isNotNull())
+    counts = cells.groupBy(F.col("c.column").alias("column")).agg(
+        F.count(F.lit(1)).alias("values"), *[F.count(F.when(test, 1)).alias(f"t{i}") for i, test in enumerate(held.values())]
     )
-    counts = typed.groupBy("column", "entity_type").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.where(F.col("entity_type") == "").select("column", F.col("n").alias("values"))
+    by_type = F.array(*[F.struct(F.lit(t).alias("entity_type"), F.col(f"t{i}").alias("n")) for i, t in enumerate(held)])
+    listed = by_type if held else F.array().cast("array<struct<entity_type:string,n:bigint>>")
     return (
-        counts.where(F.col("entity_type") != "")
-        .join(totals, "column")
-        .select("column", "entity_type", "n", "values", (F.col("n") / F.col("values")).alias("share"))
+        counts.select("column", "values", F.explode(listed).alias("t"))
+        .where(F.col("t.n") > 0)
+        .select("column", "t.entity_type", "t.n", "values", (F.col("t.n") / F.col("values")).alias("share"))
     )
 
 
