@@ -445,3 +445,37 @@ def test_sums_before_a_place(spark, values):
     df = spark.createDataFrame([(values,)], "v array<int>").withColumn("s", sp.block_sums(F.col("v")))
     found = df.select(F.transform(F.sequence(F.lit(0), F.lit(len(values))), lambda at: sp.sum_before(F.col("v"), F.col("s"), at)).alias("x"))
     assert found.first().x == [sum(values[:at]) for at in range(len(values) + 1)]
+
+
+def test_spans_are_worked_out_in_batches_of_texts_that_are_computed(spark, texts):
+    """One call for places, contexts and overlaps together, no lambda for each of them, whatever the text is made of."""
+    df = texts("mail a@b.co", "", None).select("id", F.concat("text", F.lit(" x")).alias("text"))
+    found = text.anonymize(df, registry=(R.EMAIL, R.IBAN, R.CREDIT_CARD))
+    plan = found.select("anonymized_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert "array_sort" not in plan and "aggregate(split" not in plan
+    assert [r.anonymized_text for r in found.orderBy("id").collect()] == ["mail <EMAIL_ADDRESS> x", " x", None]
+
+
+def test_matches_whose_text_also_stands_elsewhere(texts):
+    """The same characters before, behind or across a match do not move its span; invalid matches count as places."""
+    even = R.Recognizer("EVEN", r"\b\d+\b", 0.5, ("no",), validator=lambda v: v.cast("int") % 2 == 0)
+    house = R.Recognizer("C", r"\bC-\d\d\b", 0.5, ("no",))
+    rnd = random.Random(11)
+    parts = ["C-12", "xC-12", "C-123", "\U0001f600", " ", " ", "no", "NO:", "12", "13", "\u00e9", "a12", "-", "\u2003", "\u00b5no", "no\u0301", "\n"]
+    values = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(300)] + ["", "12", "C-12"]
+    rows = texts(*values).select("text", R.recognize(F.col("text"), (even, house)).alias("found")).collect()
+    word, several = r"[\w\u0301]", 0  # marks belong to words, as in (?U)
+    for row in rows:
+        want = []
+        for r, expression in ((even, r"\d+"), (house, r"C-\d\d")):
+            for m in re.finditer(rf"(?<!{word}){expression}(?!{word})", row.text):
+                if r is even and int(m[0]) % 2:
+                    continue
+                before = " ".join(re.sub(r"\s+", " ", row.text[: m.start()]).rstrip(" ").split(" ")[-5:])
+                near = "no" in re.findall(rf"{word}+", before.lower())
+                score = (1.0 if near or r is even else 0.5) if r is even else (0.85 if near else 0.5)
+                want.append((r.entity_type, m.start(), m.end(), score, m[0]))
+        assert [tuple(s) for s in row.found] == want, row.text
+        several += any(row.text.count(w[4]) > 1 for w in want)
+    assert several > 30
